@@ -59,11 +59,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/strandsift-{name}-{uuid.uuid4().hex}"
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
+def materialised(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._strandsift_path = path
     return back

@@ -21,18 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandsift.llm.common import materialised, new_path, sliced, texts, tuned
+from strandsift.llm.common import forget, materialised, new_path, sliced, texts, tuned
 
 END_ID = 2
 FILE_TOKENS = 4 << 20
 _MAGIC = b"SSVB0001"
 #: Chunks of text whose ids a worker keeps.
-_HELD = 400_000
+_HELD = 1_000_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -45,8 +46,9 @@ class Encoder:
     """The ids of texts by the tokenizers library.
 
     The tokenizer's pieces never cross ASCII white space (its pattern excludes
-    it and its normaliser composes nothing across it), so each distinct run
-    between white space is encoded once and its ids are reused.
+    it and its normaliser composes nothing across it), nor the end of a word
+    before punctuation, so each distinct run between those is encoded once and
+    its ids are reused.
     """
 
     def __init__(self, path: str):
@@ -54,6 +56,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -63,39 +68,57 @@ class Encoder:
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _learn(self, chunks: list[str]) -> None:
-        for e in range(0, len(chunks), 10_000):
-            part = chunks[e : e + 10_000]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            n, k = int(sizes.sum()), len(self.index)
-            while self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while k + len(part) > len(self.starts):
-                self.starts, self.sizes = (np.concatenate([v, np.zeros_like(v)]) for v in (self.starts, self.sizes))
-            self.flat[self.used : self.used + n] = np.fromiter((i for x in ids for i in x), np.uint32, n)
-            self.starts[k : k + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.sizes[k : k + len(part)] = sizes
-            self.used += n
-            self.index.update(zip(part, range(k, k + len(part))))
-
-    def encode(self, text: str) -> np.ndarray:
-        chunks = text.split(" ") if text.isascii() and not any(c in text for c in "\t\n\r\f\v") else text.translate(_BLANK).split(" ")
-        index = self.index
-        try:
-            at = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
-        except KeyError:
-            if len(index) > _HELD:
-                self.clear()
-                index = self.index
-            self._learn([c for c in dict.fromkeys(chunks) if c not in index])
-            at = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
+        words = [c for c in chunks if c.isalpha() and (c.isascii() or c.translate(_LATIN).isascii())]
+        pieces: dict[str, list[int]] = {}
+        for e in range(0, len(words), 256):  # words have one piece each, whose last id is a word's end
+            some = words[e : e + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            ids = ids.tolist()
+            if len(cuts) != len(some):
+                raise ValueError("the tokenizer splits words")
+            pieces.update(zip(some, (ids[a:b] for a, b in zip([0] + cuts, cuts))))
+        rest = [c for c in chunks if c not in pieces]
+        for e in range(0, len(rest), 10_000):
+            some = rest[e : e + 10_000]
+            pieces.update(zip(some, (x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
+        ids = [pieces[c] for c in chunks]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        n, k = int(sizes.sum()), len(self.index)
+        while self.used + n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while k + len(ids) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([v, np.zeros_like(v)]) for v in (self.starts, self.sizes))
+        self.flat[self.used : self.used + n] = np.fromiter((i for x in ids for i in x), np.uint32, n)
+        self.starts[k : k + len(ids)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[k : k + len(ids)] = sizes
+        self.used += n
+        self.index.update(zip(chunks, range(k, k + len(ids))))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # no special token, so case and cuts before marks change nothing
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), _MARKS, r"\1 \2\3")
+        lists = pc.ascii_split_whitespace(texts)
+        chunks = lists.flatten().dictionary_encode()
+        names = chunks.dictionary.to_pylist()
+        if len(self.index) > _HELD:
+            self.clear()
+        new = [c for c in names if c not in self.index]
+        if new:
+            self._learn(new)
+        known = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        at = known[chunks.indices.to_numpy()]
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
-        n = int(ends[-1])
-        return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(n)]
+        ids = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        stops = np.concatenate(([0], ends))[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]
+        return np.split(ids, stops[:-1]) if len(texts) else []
 
 
-_BLANK = {ord(c): " " for c in "\t\n\r\f\v"}
+#: Letters of Western European languages: lower-casing and composing keep each a letter.
+_LATIN = {i: "a" for i in range(0xC0, 0x100) if chr(i).isalpha()}
+#: A run of marks from a letter or digit to white space or the end is a piece of its own.
+_MARKS = r"([\pL\pN])([.,;:!?|*#$%&]+)([ \t\n\r\f\v]|$)"
 
 
 def tokens(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
@@ -105,8 +128,8 @@ def tokens(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         enc = Encoder(path)
         for b in sliced(it):
             out, wide = [], []
-            for t in b.column(1).to_pylist():
-                ids = np.append(enc.encode(t), np.uint32(end_id))
+            for ids in enc.encode(b.column(1)):
+                ids = np.append(ids, np.uint32(end_id))
                 wide.append(bool(ids.max() > 0xFFFF))
                 out.append(ids.astype("<u4" if wide[-1] else "<u2").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wide), pa.array(out, pa.binary())], names=["doc_id", "wide", "ids"])
@@ -162,23 +185,37 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-def write_files(rows: DataFrame, folder: str, ids_by_rank: np.ndarray) -> DataFrame:
-    """Writes (doc_id, wide, ids), ordered in partitions, to files; (part, seq, path, docs, tokens) of each file.
+def _load(fs: pafs.FileSystem, top: str) -> np.ndarray:
+    with fs.open_input_stream(f"{top}/ranks.bin") as f:
+        return np.frombuffer(f.read(), "<u4")
+
+
+def coded(rows: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, n, control, data) of (doc_id, wide, ids)."""
+
+    def out(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_rank = _load(*_store(folder)).astype(np.int64)
+        rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
+        rank[by_rank] = np.arange(len(by_rank))
+        for b in it:
+            ranks = [rank[_ids(w, raw)] for w, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            both = [packed(r) for r in ranks]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(list(map(len, ranks)), pa.int64()), pa.array([c for c, _ in both], pa.binary()), pa.array([d for _, d in both], pa.binary())], names=["doc_id", "n", "control", "data"]
+            )
+
+    return rows.mapInArrow(out, "doc_id bigint, n bigint, control binary, data binary")
+
+
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes (doc_id, n, control, data), ordered in partitions, to files; (part, seq, path, docs, tokens) of each file.
 
     A repeated attempt of a task writes files of its own name; the rows that
     come back name the files of the attempt that counts.
     """
-    fs, top = _store(folder)
-    fs.create_dir(top, recursive=True)
-    with fs.open_output_stream(f"{top}/ranks.bin") as f:
-        f.write(ids_by_rank.astype("<u4").tobytes())
 
     def written(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _store(folder)
-        with fs.open_input_stream(f"{top}/ranks.bin") as f:
-            by_rank = np.frombuffer(f.read(), "<u4").astype(np.int64)
-        rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
-        rank[by_rank] = np.arange(len(by_rank))
         ctx = TaskContext.get()
         part, attempt = ctx.partitionId(), ctx.taskAttemptId()
         docs: list[tuple[int, int, bytes, bytes]] = []
@@ -195,10 +232,9 @@ def write_files(rows: DataFrame, folder: str, ids_by_rank: np.ndarray) -> DataFr
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [path], "docs": [len(docs)], "tokens": [total]})
 
         for b in it:
-            for doc, wide, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                r = rank[_ids(wide, raw)]
-                docs.append((doc, len(r), *packed(r)))
-                total += len(r)
+            for doc in zip(*(b.column(k).to_pylist() for k in range(4))):
+                docs.append(doc)
+                total += doc[1]
                 if total >= FILE_TOKENS:
                     yield flush()
                     docs, total, seq = [], 0, seq + 1
@@ -230,8 +266,7 @@ def read_back(files: DataFrame, folder: str) -> DataFrame:
 
     def decoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _store(folder)
-        with fs.open_input_stream(f"{top}/ranks.bin") as f:
-            by_rank = np.frombuffer(f.read(), "<u4")
+        by_rank = _load(fs, top)
         for b in it:
             for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 out: list[tuple[int, int, int, int]] = []
@@ -251,16 +286,22 @@ def export(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", t
     """(files, folder): writes the ids of all texts; see read_back().
 
     A null or empty text is the end id alone. Rows without id take no part;
-    rows that share an id are written each, in the order of their ids' bytes.
+    rows that share an id are written each, in the order of their coded bytes.
     An empty table writes no file but ranks.bin.
     """
     spark = tuned(docs.sparkSession)
     folder = folder or new_path(spark, "tokens")
-    rows = materialised(tokens(texts(docs, id_col, text_col), vocabulary or vocabulary_path(), end_id), "ids")
+    rows = materialised(tokens(texts(docs, id_col, text_col), vocabulary or vocabulary_path(), end_id), "ids", "zstd")
     counts = rows.mapInArrow(_counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     order = counts.orderBy(F.desc("n"), "id").select("id").toPandas()["id"].to_numpy(np.int64)  # a row an id of the vocabulary
-    placed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    return materialised(write_files(placed, folder, order), "token-files"), folder
+    fs, top = _store(folder)
+    fs.create_dir(top, recursive=True)
+    with fs.open_output_stream(f"{top}/ranks.bin") as f:
+        f.write(order.astype("<u4").tobytes())
+    placed = coded(rows, folder).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "data")
+    files = materialised(write_files(placed, folder), "token-files")
+    forget(rows)
+    return files, folder
 
 
 def op3_control_byte_files(spark: SparkSession, sf_dir: str) -> DataFrame:
