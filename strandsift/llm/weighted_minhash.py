@@ -14,6 +14,8 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,13 @@ from pyspark.sql import functions as F
 
 from strandsift.llm.common import shuffle_parts, sliced, texts, tuned
 
-SAMPLES = 128
+SAMPLES = 64
 #: A word's weight is count * min(length, LONG) ** POWER.
 POWER, LONG = 2.0, 12
 #: Words whose draws a worker keeps.
-_HELD = 20_000
+_HELD = 60_000
+#: Words or pairs whose draws are computed at a time: what fits a core's cache.
+_STEP = 512
 
 _U = np.uint64
 
@@ -44,7 +48,7 @@ class Sampler:
     def __init__(self, samples: int = SAMPLES):
         self.samples = samples
         k = np.arange(samples, dtype=np.uint64)
-        self.salts = _mixed(k * _U(0x9E3779B97F4A7C15) + _U(1)), _mixed(k * _U(0xD1B54A32D192ED03) + _U(2))
+        self.salts = _mixed(k * _U(0x9E3779B97F4A7C15) + _U(1))
         self._clear()
 
     def _clear(self) -> None:
@@ -61,8 +65,9 @@ class Sampler:
                 v = getattr(self, name)
                 setattr(self, name, np.concatenate([v, np.zeros_like(v)]))
         h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-        x, y = (_mixed(h[:, None] ^ s[None, :]) for s in self.salts)
-        u = lambda v, at: ((v >> _U(at)) & _U(0x1FFFFF)).astype(np.float32) * np.float32(2**-21) + np.float32(2**-22)
+        x = _mixed(h[:, None] ^ self.salts[None, :])
+        y = x * _U(0xD6E8FEB86659FD93)
+        u = lambda v, at: (v >> _U(at) & _U(0x1FFFFF)).astype(np.int32).astype(np.float32) * np.float32(2**-21) + np.float32(2**-22)
         self.r[a:z] = -np.log(u(x, 43) * u(x, 22))
         self.c[a:z] = np.log(-np.log(u(x, 1) * u(y, 43)))
         self.b[a:z] = u(y, 22)
@@ -74,7 +79,7 @@ class Sampler:
         """[texts, samples] of uint16. A text without words has the code 0 throughout; others never hold 0."""
         bags = [Counter(t.lower().split()) for t in batch]
         out = np.zeros((len(batch), self.samples), np.uint16)
-        if len(self.index) > _HELD // 2:
+        if len(self.index) > _HELD * 3 // 4:
             self._clear()
         at = 0
         while at < len(bags):  # as many texts at once as fill some ten thousand pairs
@@ -87,39 +92,52 @@ class Sampler:
         return out
 
     def _some(self, bags: list[Counter], out: np.ndarray) -> None:
-        new = list({w for bag in bags for w in bag if w not in self.index})
+        words = set().union(*bags)
+        new = [w for w in words if w not in self.index]
         if len(self.index) + len(new) > _HELD and self.index:
             self._clear()
-            new = list({w for bag in bags for w in bag})
-        for i in range(0, len(new), 4096):
-            self._learn(new[i : i + 4096])
+            new = list(words)
+        for i in range(0, len(new), _STEP):
+            self._learn(new[i : i + _STEP])
         sizes = [len(b) for b in bags]
         n = sum(sizes)
         if not n:
             return
-        get = self.index.__getitem__
-        term = np.fromiter((get(w) for b in bags for w in b), np.int64, n)
-        count = np.fromiter((k for b in bags for k in b.values()), np.int64, n)
+        term = np.fromiter(map(self.index.__getitem__, chain.from_iterable(bags)), np.int64, n)
+        count = np.fromiter(chain.from_iterable(b.values() for b in bags), np.int64, n)
         pairs, where = np.unique(term << 32 | count, return_inverse=True)
         at = 0
         values, steps = self._pairs(pairs)
-        words = pairs >> 32
+        owner = self.hashes[pairs >> 32]
         for i, size in enumerate(sizes):
             if size:
                 rows = where[at : at + size]
                 best = rows[values[rows].argmin(0)]
                 k = np.arange(self.samples)
                 t = steps[best, k].astype(np.int64).view(np.uint64)
-                code = _mixed(self.hashes[words[best]] ^ _mixed(t + _U(0x632BE59BD9B4E019)) ^ self.salts[0])
+                code = _mixed(owner[best] ^ _mixed(t + _U(0x632BE59BD9B4E019)) ^ self.salts)
                 out[i] = np.maximum(code >> _U(48), _U(1)).astype(np.uint16)
                 at += size
 
     def _pairs(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        term, count = pairs >> 32, pairs & 0xFFFFFFFF
-        size = (np.log(count).astype(np.float32) + self.sizes[term])[:, None]
-        r, b = self.r[term], self.b[term]
-        t = np.floor(size / r + b)
-        return self.c[term] - r * (t - b + np.float32(1)), t
+        """ln a and t of each (word, count) for each sample."""
+        values = np.empty((len(pairs), self.samples), np.float32)
+        steps = np.empty_like(values)
+        for i in range(0, len(pairs), _STEP):
+            some = pairs[i : i + _STEP]
+            term = some >> 32
+            size = (np.log(some & 0xFFFFFFFF).astype(np.float32) + self.sizes[term])[:, None]
+            r, b = self.r[term], self.b[term]
+            t = np.floor(size / r + b)
+            steps[i : i + _STEP] = t
+            values[i : i + _STEP] = self.c[term] - r * (t - b + np.float32(1))
+        return values, steps
+
+
+@cache
+def _sampler() -> Sampler:
+    """One a worker process: the draws that it keeps serve its later tasks too."""
+    return Sampler()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -164,44 +182,51 @@ _OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string,
 
 
 def _compared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sampler = Sampler()
+    sampler = _sampler()
     last: tuple[int, int, str] | None = None  # bucket, doc_id, text that still lacks its successor
     code: np.ndarray | None = None  # its fingerprint
     done = -1  # the bucket whose first peek row has been used
 
-    def out(rows: list[tuple[int, str, str]], codes: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
-        new = [edited(t, u) for _, t, u in rows]
-        other = sampler.codes(new)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([i for i, _, _ in rows], pa.int64()),
-                pa.array([len(t) for _, t, _ in rows], pa.int64()),
-                pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new]),
-                pa.array([text_of(c) for c in codes]),
-                pa.array([text_of(c) for c in other]),
-                pa.array(likeness(codes, other)),
-                pa.array(likeness(codes, after)),
-            ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-        )
-
     for b in sliced(it, max_bytes=4 << 20):
         new = list(zip(*(b.column(k).to_pylist() for k in range(4))))
-        codes = sampler.codes([x[3] for x in new])
-        rows, own, after = [], [], []
-        for (bucket, peek, doc, text), c in zip(new, codes):
+        plan: list[tuple[int, str, str]] = []  # doc_id, text, edited text
+        both: list[str] = []  # each text, then the edited text of the row before it: they share most words
+        own: list[int | None] = []  # where the fingerprint of a planned row's text is; None: in code
+        at: list[int] = []  # where its successor is; the edited text follows
+        held = None  # the place of last's text in both; None: an earlier batch
+        for bucket, peek, doc, text in new:
             if peek and bucket == done:
                 continue
+            place = len(both)
+            both.append(text)
             if last is not None and last[0] == bucket:
-                rows.append((last[1], last[2], text))
-                own.append(code)
-                after.append(c)
+                changed = edited(last[2], text)
+                plan.append((last[1], last[2], changed))
+                own.append(held)
+                at.append(place)
+                both.append(changed)
             if peek:
-                last, done = None, bucket
+                last, done, held = None, bucket, None
             else:
-                last, code = (bucket, doc, text), c
-        if rows:
-            yield out(rows, np.array(own), np.array(after))
+                last, held = (bucket, doc, text), place
+        codes = sampler.codes(both)
+        if plan:
+            mine = np.array([code if k is None else codes[k] for k in own])
+            after, other = codes[at], codes[[k + 1 for k in at]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([i for i, _, _ in plan], pa.int64()),
+                    pa.array([len(t) for _, t, _ in plan], pa.int64()),
+                    pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for _, _, t in plan]),
+                    pa.array([text_of(c) for c in mine]),
+                    pa.array([text_of(c) for c in other]),
+                    pa.array(likeness(mine, other)),
+                    pa.array(likeness(mine, after)),
+                ],
+                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            )
+        if held is not None:
+            code = codes[held]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
