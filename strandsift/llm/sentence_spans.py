@@ -1,7 +1,8 @@
 """Substring dedup by sliding spans of sentences.
 
 A text is cut into sentences, and long sentences further after words that a
-hash picks, so that a passage is cut alike wherever it stands. From every
+hash picks and after LONGEST words, so that a passage is cut alike wherever it
+stands, from the first end of a sentence or picked word in it on. From every
 sentence the shortest run of at least SPAN sentences and MIN_WORDS words is
 hashed. A hash that occurs in several documents stays in the one with the
 smallest id; everywhere else, and from its second occurrence in a document on,
@@ -25,6 +26,8 @@ from strandsift.llm.common import field, materialised, sliced, texts, tuned
 SPAN, MIN_WORDS = 3, 20
 #: One word in so many ends a piece of its sentence.
 CUT = 10
+#: Words of a piece, at most.
+LONGEST = 12
 _CLOSED = frozenset(".!?…")
 _QUOTES = "\"')]}»”’"
 
@@ -50,13 +53,15 @@ class Cutter:
             own = line.split()
             if not own:
                 continue
+            last = len(words)
             for k, w in enumerate(own, len(words) + 1):
                 try:
                     e = ends[w]
                 except KeyError:
                     e = ends[w] = self.ends_piece(w)
-                if e:
+                if e or k - last == LONGEST:
                     stops.append(k)
+                    last = k
             words += own
             if not stops or stops[-1] != len(words):
                 stops.append(len(words))
