@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from strandsift.functions.sequences import hamming
 from strandsift.operators.storage import materialised
+from strandsift.shipping import ship
 
 
 def _gap(a: bytes, b: bytes) -> int | None:
@@ -50,6 +51,7 @@ def with_previous(units: DataFrame, keys: list[str]) -> DataFrame:
     the row before. The first row of a range gets the last row of the ranges
     before it from a table of one row a range.
     """
+    ship(units.sparkSession)
     fields = units.schema.fields + [T.StructField("part", T.LongType()), T.StructField("pos", T.LongType())]
     for k in keys:
         fields += [T.StructField(f"prev_{k}", T.StringType()), T.StructField(f"gap_{k}", T.IntegerType())]

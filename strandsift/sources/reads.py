@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandsift.schema import READ
+from strandsift.shipping import ship
 
 LINES = {"fastq": 4, "fasta": 2}
 MARK = {"fastq": b"@", "fasta": b">"}
@@ -157,6 +158,7 @@ def read_reads(spark: SparkSession, path: str, fmt: str = "fastq", split_bytes:
     if fmt not in LINES:
         raise ValueError(f"unknown format: {fmt}")
     ranges = _ranges(path, split_bytes)
+    ship(spark)
     if not ranges:
         return spark.createDataFrame([], READ)
     if ranges[0][2] < 0:

@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 
 from strandsift.operators.storage import shared_dir
+from strandsift.shipping import ship
 from strandsift.sources.reads import _open
 
 _BUFFER = 4 << 20
@@ -54,6 +55,7 @@ def write_ordered(rows: DataFrame, text: Column, path: str, *order: str, packed:
     folder = f"{shared_dir(rows.sparkSession)}/out-{uuid.uuid4().hex}"
     fs, top = _open(folder)
     fs.create_dir(top, recursive=True)
+    ship(rows.sparkSession)
     packed = path.endswith(".gz") if packed is None else packed
     lines = rows.select(*order, text.alias("__line")).orderBy(*order).select("__line")
     parts = sorted(lines.mapInArrow(_parts(folder, packed), "part bigint, path string, n bigint").collect())  # a row a partition
