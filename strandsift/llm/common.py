@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandsift.shipping import ship
+
 #: Rows of an Arrow batch handed to Python; texts of a few kB make batches of a few MB.
 BATCH_ROWS = 1000
 
@@ -30,7 +32,8 @@ def field(name: str) -> Column:
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Keeps Arrow batches small, so that very long texts fit a Python worker."""
+    """Keeps Arrow batches small, so that very long texts fit a Python worker, and sends the code to the executors."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
