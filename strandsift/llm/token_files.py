@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -121,11 +122,17 @@ _LATIN = {i: "a" for i in range(0xC0, 0x100) if chr(i).isalpha()}
 _MARKS = r"([\pL\pN])([.,;:!?|*#$%&]+)([ \t\n\r\f\v]|$)"
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    """One a worker process: what it has learnt serves its later tasks too."""
+    return Encoder(path)
+
+
 def tokens(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids): the ids of each text and the end id, as little-endian u16 where all fit and u32 otherwise (wide)."""
 
     def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = _encoder(path)
         for b in sliced(it):
             out, wide = [], []
             for ids in enc.encode(b.column(1)):
@@ -190,25 +197,8 @@ def _load(fs: pafs.FileSystem, top: str) -> np.ndarray:
         return np.frombuffer(f.read(), "<u4")
 
 
-def coded(rows: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, n, control, data) of (doc_id, wide, ids)."""
-
-    def out(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_rank = _load(*_store(folder)).astype(np.int64)
-        rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
-        rank[by_rank] = np.arange(len(by_rank))
-        for b in it:
-            ranks = [rank[_ids(w, raw)] for w, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            both = [packed(r) for r in ranks]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(list(map(len, ranks)), pa.int64()), pa.array([c for c, _ in both], pa.binary()), pa.array([d for _, d in both], pa.binary())], names=["doc_id", "n", "control", "data"]
-            )
-
-    return rows.mapInArrow(out, "doc_id bigint, n bigint, control binary, data binary")
-
-
 def write_files(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes (doc_id, n, control, data), ordered in partitions, to files; (part, seq, path, docs, tokens) of each file.
+    """Writes (doc_id, wide, ids), ordered in partitions, to files; (part, seq, path, docs, tokens) of each file.
 
     A repeated attempt of a task writes files of its own name; the rows that
     come back name the files of the attempt that counts.
@@ -216,6 +206,9 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
 
     def written(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _store(folder)
+        by_rank = _load(fs, top).astype(np.int64)
+        rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
+        rank[by_rank] = np.arange(len(by_rank))
         ctx = TaskContext.get()
         part, attempt = ctx.partitionId(), ctx.taskAttemptId()
         docs: list[tuple[int, int, bytes, bytes]] = []
@@ -232,9 +225,10 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [path], "docs": [len(docs)], "tokens": [total]})
 
         for b in it:
-            for doc in zip(*(b.column(k).to_pylist() for k in range(4))):
-                docs.append(doc)
-                total += doc[1]
+            for doc, wide, raw in zip(*(b.column(k).to_pylist() for k in range(3))):
+                r = rank[_ids(wide, raw)]
+                docs.append((doc, len(r), *packed(r)))
+                total += len(r)
                 if total >= FILE_TOKENS:
                     yield flush()
                     docs, total, seq = [], 0, seq + 1
@@ -286,7 +280,7 @@ def export(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", t
     """(files, folder): writes the ids of all texts; see read_back().
 
     A null or empty text is the end id alone. Rows without id take no part;
-    rows that share an id are written each, in the order of their coded bytes.
+    rows that share an id are written each, in the order of their ids' bytes.
     An empty table writes no file but ranks.bin.
     """
     spark = tuned(docs.sparkSession)
@@ -298,7 +292,8 @@ def export(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", t
     fs.create_dir(top, recursive=True)
     with fs.open_output_stream(f"{top}/ranks.bin") as f:
         f.write(order.astype("<u4").tobytes())
-    placed = coded(rows, folder).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "data")
+    # ids rather than codes are shuffled: sampling the ranges then costs a look at doc_id alone
+    placed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     files = materialised(write_files(placed, folder), "token-files")
     forget(rows)
     return files, folder
