@@ -1,4 +1,4 @@
-"""Cluster membership and its text form; run summaries."""
+"""Cluster membership and its text form."""
 
 from __future__ import annotations
 
@@ -24,7 +24,3 @@ def cluster_line(member_id, is_head):
     """'id' for a head, '--id' for a member."""
     return F.concat(F.when(is_head, F.lit("")).otherwise(F.lit("--")), member_id)
 
-
-def summary(annotated: DataFrame) -> DataFrame:
-    """One row: total, duplicates, unmatched (null)."""
-    return annotated.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("ord") != F.col("head_ord")).alias("duplicates")).withColumn("unmatched", F.lit(None).cast("long"))

@@ -32,10 +32,11 @@ def loose_heads(units: DataFrame, strategy: str | None = None) -> DataFrame:
         rows = with_previous(units, keys)
         dup = _extends(keys, [F.col(f"prev_{k}") for k in keys])
         return running_last(rows, F.when(~dup, F.col("ord")), "head_ord").select(*units.columns, "head_ord")
-    w = Window.partitionBy(F.substring("s1", 1, least)).orderBy(*keys)
+    # a column of its own, so that both windows share one exchange
+    w = Window.partitionBy("__prefix").orderBy(*keys)
     dup = _extends(keys, [F.lag(k).over(w) for k in keys])
-    rows = units.withColumn("__head", F.when(~dup, F.col("ord")))
-    return rows.withColumn("head_ord", F.last("__head", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__head")
+    rows = units.withColumn("__prefix", F.substring("s1", 1, least)).withColumn("__head", F.when(~dup, F.col("ord")))
+    return rows.withColumn("head_ord", F.last("__head", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__head", "__prefix")
 
 
 def _extends(keys, prev):

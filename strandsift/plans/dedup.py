@@ -36,17 +36,20 @@ class Options:
             raise ValueError("unordered needs fast")
 
 
-def annotated(rows: DataFrame, options: Options) -> DataFrame:
-    """rows (ord, s1[, s2], ...) with head_ord, the ord of the cluster's head, and is_head."""
-    keys = ["s1", "s2"] if "s2" in rows.columns else ["s1"]
+def heads(rows: DataFrame, options: Options) -> DataFrame:
+    """The distinct sequences (pairs) of rows (ord, s1[, s2], ...) with their first ord and head_ord, the ord of their cluster's head."""
     units = distinct_units(rows)
     if options.compare == "loose":
-        heads = loose_heads(units)
-    elif options.compare == "tail-hamming":
-        heads = hamming_heads(units, options.distance)
-    else:
-        heads = tight_heads(units)
-    verdict = heads.select(*keys, F.col("head_ord").cast("long"))
+        return loose_heads(units)
+    if options.compare == "tail-hamming":
+        return hamming_heads(units, options.distance)
+    return tight_heads(units)
+
+
+def annotated(rows: DataFrame, options: Options) -> DataFrame:
+    """rows with head_ord and is_head."""
+    keys = ["s1", "s2"] if "s2" in rows.columns else ["s1"]
+    verdict = heads(rows, options).select(*keys, F.col("head_ord").cast("long"))
     return rows.join(verdict, keys).withColumn("is_head", F.col("ord") == F.col("head_ord"))
 
 
@@ -81,7 +84,8 @@ class Result:
             return first_of_each(self.rows, validate=o.validate)
         if o.compare == "tight":  # the same rows as the annotation's heads, with a limit before the shuffle
             return first_of_each(self.rows)
-        return self.annotated.where("is_head").drop("head_ord", "is_head")
+        # heads are found on sequences alone; whole records meet a list of numbers only
+        return self.rows.join(heads(self.rows, o).where("ord = head_ord").select("ord"), "ord", "left_semi")
 
     @cached_property
     def clusters(self) -> DataFrame:
@@ -93,10 +97,8 @@ class Result:
     @cached_property
     def summary(self) -> DataFrame:
         """total and duplicates of reads or pairs; unmatched counts reads without partner (pairs only)."""
-        keys = ["s1", "s2"][: self.mates]
-        out = self.rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
-        if not self.options.fast and self.options.compare != "tight":
-            out = _clusters.summary(self.annotated).drop("unmatched")
+        total, kept = F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("ord") == F.col("head_ord"))
+        out = heads(self.rows, self.options).agg(total.alias("total"), (total - kept).alias("duplicates"))
         if self.right is None:
             return out.withColumn("unmatched", F.lit(None).cast("long"))
         n = sum(side.count() for side in (self.left, self.right))
