@@ -47,6 +47,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ).where(F.col("doc_id").isNotNull())
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ...: Python operators take any table, whatever its columns are called."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is configured."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -19,9 +19,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from strandsift.llm.common import field, materialised, sliced, texts, tuned
+from strandsift.llm.common import materialised, plain_names, sliced, texts, tuned
 
 SPAN, MIN_WORDS = 3, 20
 #: One word in so many ends a piece of its sentence.
@@ -139,29 +138,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gives an empty one.
     """
     tuned(docs.sparkSession)
-    seen = repeated(texts(docs, id_col, text_col)).withColumnRenamed("doc_id", "__span_doc").withColumnRenamed("seen", "__span_seen")
-    rows = docs.join(seen, field(id_col).cast("long") == F.col("__span_doc"), "left").drop("__span_doc")
-    schema = T.StructType(docs.schema.fields)
+    seen = repeated(texts(docs, id_col, text_col)).select(F.col("doc_id").alias("span_doc"), F.col("seen").alias("span_seen"))
+    plain = plain_names(docs)
+    place = {name: k for k, name in enumerate(docs.columns)}
+    doc, text, chars = place[id_col], place[text_col], place.get(chars_col)
+    rows = plain.join(seen, F.col(f"c{doc}").cast("long") == F.col("span_doc"), "left").drop("span_doc")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter()
-        for b in sliced(it, text_col):
-            names = b.schema.names
-            at, hits = names.index(text_col), b.column(names.index("__span_seen")).to_pylist()
-            new = [t if t is None else without(cutter, t, set(s or ())) for t, s in zip(b.column(at).to_pylist(), hits)]
-            cols = []
-            for k, name in enumerate(names):
-                if name == "__span_seen":
-                    continue
-                if k == at:
-                    cols.append(pa.array(new, pa.string()))
-                elif name == chars_col:
-                    cols.append(pa.array([0 if t is None else len(t) for t in new]).cast(b.column(k).type))
-                else:
-                    cols.append(b.column(k))
-            yield pa.RecordBatch.from_arrays(cols, names=[n for n in names if n != "__span_seen"])
-
-    return rows.mapInArrow(cut, schema)
+        for b in sliced(it, f"c{text}"):
+            *cols, hits = b.columns
+            new = [t if t is None else without(cutter, t, set(s or ())) for t, s in zip(cols[text].to_pylist(), hits.to_pylist())]
+            cols[text] = pa.array(new, pa.string())
+            if chars is not None:
+                cols[chars] = pa.array([0 if t is None else len(t) for t in new], pa.int64()).cast(cols[chars].type)
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+
+    return rows.mapInArrow(cut, plain.schema).toDF(*docs.columns)
 
 
 def op2_sentence_spans(spark, sf_dir: str) -> DataFrame:

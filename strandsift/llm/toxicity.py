@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandsift.llm.common import materialised, sliced, texts, tuned
+from strandsift.llm.common import materialised, plain_names, sliced, texts, tuned
 from strandsift.llm.quality import training_ids
 
 #: The labelled rows that a model is fitted on, at most: those whose md5(doc_id) comes first.
@@ -184,13 +184,14 @@ def score(docs: DataFrame, model: Linear) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Linear, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores below ``threshold``; one pass, no shuffle."""
     tuned(docs.sparkSession)
+    rows, text = plain_names(docs), f"c{docs.columns.index(text_col)}"
 
     def clean(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(it, text_col):
-            at = b.schema.get_field_index(text_col)
-            yield b.filter(pa.array([model.score(t or "") < threshold for t in b.column(at).to_pylist()]))
+        for b in sliced(it, text):
+            at = b.schema.get_field_index(text)
+            yield b.filter(pa.array([model.score(t or "") < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return rows.mapInArrow(clean, rows.schema).toDF(*docs.columns)
 
 
 def op8_counterfactual_toxicity(spark, sf_dir: str) -> DataFrame:

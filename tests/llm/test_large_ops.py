@@ -229,3 +229,18 @@ def test_pipeline_runs_stage_by_stage(spark):
         if k == 4:
             assert len(rows) == docs.count()
         docs = spark.createDataFrame(rows, out.schema)
+
+
+def test_stages_on_odd_rows(spark, odd_docs, tmp_path):
+    import corpus_pipeline as p
+
+    labels = labelled(spark, [(2, 1, 0), (4, 1, 1), (7, None, None)])
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (odd_docs, odd_docs.limit(0), odd_docs.withColumnRenamed("h", "a.b").withColumn("copy", F.lit("own"))):
+        for k, (_, stage) in enumerate(p.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            rows = out.collect()
+            if k < 4:
+                assert out.columns == docs.columns
+            if k in (1, 2) and docs.count():
+                assert len(rows) == 7
