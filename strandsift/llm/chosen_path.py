@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from strandsift.llm.common import field, forget, materialised, sliced, texts, tuned
 from strandsift.llm.components import connected_components, spanning_links
 
-#: Tokens of a signature, independent trees, children a node by level (the last holds for all deeper levels).
-TOKENS, TREES, CHILDREN = 64, 4, (2, 2, 2, 1)
+#: Tokens of a signature, independent trees, positions that a node picks.
+TOKENS, TREES, CHILDREN = 64, 4, 2
 #: A node of up to LEAF documents is compared, as is one that keeps SHRINK of its parent or lies DEPTH deep.
 LEAF, SHRINK, DEPTH = 64, 0.7, 8
 #: Signatures must agree in the similarity less SLACK standard deviations.
@@ -100,7 +100,7 @@ def _signed(width: int):
 
 def _children(level: int):
     """mapInArrow from (grp, size, id, sig) to (grp, up, id): the nodes below, and how many documents their parent held."""
-    picks = CHILDREN[min(level, len(CHILDREN) - 1)]
+    picks = CHILDREN
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -175,20 +175,21 @@ def _loose_links(reps: DataFrame, percent: int) -> DataFrame:
     found = []
     while True:
         keys = materialised(nodes.mapInArrow(_children(level), "grp bigint, up bigint, id bigint"), "nodes")
-        sizes = keys.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.max("up").alias("up")).where("size > 1")
+        # a table of its own: a join of two plain exchanges is one whose hot keys can be split
+        sizes = materialised(keys.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.max("up").alias("up")).where("size > 1"), "sizes")
         met = keys.select("grp", "id").join(sizes, "grp")
         met = materialised(met.join(reps.select(F.col("doc_id").alias("id"), "n", "sig"), "id").select("grp", "size", "up", "id", "n", "sig"), "met")
         forget(keys)
         level += 1
         final = F.lit(True) if level >= DEPTH else (F.col("size") <= LEAF) | ((F.col("up") > 0) & (F.col("size") >= SHRINK * F.col("up")))
-        found.append(spanning_links(met.where(final).select("grp", "id", "n", F.col("sig").alias("data"), "size"), near_of))
+        found.append(met.where(final).select("grp", "id", "n", F.col("sig").alias("data"), "size"))
         nodes = met.where(~final).select("grp", "size", "id", "sig")
         if level >= DEPTH or nodes.limit(1).count() == 0:
             break
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
-    return out.select("a", "b")
+    return spanning_links(out, near_of).select("a", "b")
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

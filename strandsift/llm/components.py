@@ -101,42 +101,43 @@ def spanning_links(rows: DataFrame, near_of, block: int = BLOCK) -> DataFrame:
     """(grp, a, b): links that connect what is linked inside each group of (grp, id, n, data, size).
 
     size is the number of rows of the group. A group of up to two blocks is
-    compared at once. A larger one is dealt to blocks by a hash: first every
-    block is compared together with block 0; then the rows outside the
-    largest component so found are compared with every block. Rows inside it
-    are connected already, so no pair of two of them needs a look, and no
-    link is missed.
+    compared at once. A larger one is cut into blocks along a hash of the id:
+    first every block is compared together with block 0, and what is linked
+    gets a link to the member that comes first by that hash (so groups with
+    the same members give the same links); then all rows that are not linked
+    to the group's commonest such member are compared with every block. Pairs
+    of two rows that are linked to it need no look, and no link is missed.
     """
     run = _linked(near_of)
     schema = "grp bigint, a bigint, b bigint"
+    blocks = F.ceil(F.col("size") / F.lit(block)).cast("long")
+    place = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30))
+    rows = rows.withColumn("place", place).withColumn("blocks", blocks)
+    rows = rows.withColumn("block", F.when(F.col("size") > 2 * block, F.floor(F.col("place") * F.col("blocks") / F.lit(1 << 30)).cast("long")))
 
     def compared(df: DataFrame) -> DataFrame:
-        return df.repartition("grp", "sub").sortWithinPartitions("grp", "sub", "id").select("grp", "sub", "id", "n", "data").mapInArrow(run, schema)
+        return df.repartition("grp", "sub").sortWithinPartitions("grp", "sub", "place", "id").select("grp", "sub", "id", "n", "data").mapInArrow(run, schema)
 
-    small = rows.where(F.col("size") <= 2 * block).withColumn("sub", F.lit(0).cast("long"))
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("long")
-    large = rows.where(F.col("size") > 2 * block).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")))
+    one = lambda c: F.array(c.cast("long"))
+    sub = F.when(F.col("block").isNull(), one(F.lit(0))).when(F.col("block") == 0, F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)).otherwise(one(F.col("block")))
+    cols = ["grp", "sub", "place", "id", "n", "data"]
+    first = materialised(compared(rows.withColumn("sub", F.explode(sub)).select(*cols)), "links")
+    large = rows.where(F.col("block").isNotNull())
     if large.limit(1).count() == 0:
-        return materialised(compared(small), "links")
-    star = large.withColumn("sub", F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))))
-    cols = ["grp", "sub", "id", "n", "data"]
-    first = materialised(compared(small.select(*cols).union(star.select(*cols))), "links")
-    # components in the large groups: an id has one label a group, so (grp, id) are numbered by a hash
-    node = lambda c: F.xxhash64("grp", c)
-    inside = first.join(large.select("grp").distinct(), "grp", "left_semi").select(node("a").alias("a"), node("b").alias("b"))
-    comps = connected_components(inside)
-    placed = large.select("grp", "id", "blocks", node("id").alias("node")).join(comps.withColumnRenamed("id", "node"), "node", "left")
-    placed = materialised(placed.select("grp", "id", "blocks", F.coalesce("comp", "node").alias("comp")), "placed")
-    sizes = placed.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("k"))
-    giant = sizes.groupBy("grp").agg(F.max_by("comp", F.struct("k", "comp")).alias("giant"))
-    rest = materialised(placed.join(giant, "grp").where(F.col("comp") != F.col("giant")).select("grp", "id", "blocks"), "rest")
+        return first
+    groups = large.select("grp").distinct()
+    roots = first.join(groups, "grp", "left_semi").groupBy("grp", "a").agg(F.count(F.lit(1)).alias("k")).groupBy("grp").agg(F.max_by("a", F.struct("k", "a")).alias("root"))
+    roots = materialised(roots, "roots")
+    linked = first.join(roots, "grp").where("a = root").select("grp", F.col("b").alias("id"))
+    placed = large.join(roots, "grp", "left").where(F.col("root").isNull() | (F.col("id") != F.col("root")))
+    rest = materialised(placed.select("grp", "id").join(linked, ["grp", "id"], "left_anti").distinct(), "rest")
     if rest.limit(1).count() == 0:
         return first
     # chunks of what is left, each with every block: sub = chunk * blocks + block
     count = rest.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("chunks"))
-    chunked = rest.join(count, "grp").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(6)), F.col("chunks"))).drop("blocks")
-    full = large.join(count, "grp")
-    as_left = large.join(chunked, ["grp", "id"]).withColumn("sub", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.col("chunk") * F.col("blocks") + b)))
-    as_right = full.withColumn("sub", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: c * F.col("blocks") + F.col("block"))))
-    second = compared(as_left.select(*cols).union(as_right.select(*cols)).dropDuplicates(["grp", "sub", "id"]))
+    chunked = rest.join(count, "grp").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(6)), F.col("chunks")))
+    until = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    as_left = large.join(chunked, ["grp", "id"]).withColumn("sub", F.explode(F.transform(until(F.col("blocks")), lambda b: F.col("chunk") * F.col("blocks") + b)))
+    as_right = large.join(count, "grp").withColumn("sub", F.explode(F.transform(until(F.col("chunks")), lambda c: c * F.col("blocks") + F.col("block"))))
+    second = compared(as_left.select(*cols).union(as_right.select(*cols)))
     return materialised(first.union(second), "links")
