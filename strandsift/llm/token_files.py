@@ -19,6 +19,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,10 @@ from strandsift.llm.common import forget, materialised, new_path, sliced, texts,
 END_ID = 2
 FILE_TOKENS = 4 << 20
 _MAGIC = b"SSVB0001"
+#: Tasks that read files back, at most; a task reads its files one by one.
+READERS = 10_000
+#: Bytes of text that are encoded at once, about.
+ENCODED_BYTES = 16 << 20
 #: Chunks of text whose ids a worker keeps.
 _HELD = 1_000_000
 
@@ -90,7 +95,7 @@ class Encoder:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while k + len(ids) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([v, np.zeros_like(v)]) for v in (self.starts, self.sizes))
-        self.flat[self.used : self.used + n] = np.fromiter((i for x in ids for i in x), np.uint32, n)
+        self.flat[self.used : self.used + n] = np.fromiter(chain.from_iterable(ids), np.uint32, n)
         self.starts[k : k + len(ids)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[k : k + len(ids)] = sizes
         self.used += n
@@ -104,16 +109,21 @@ class Encoder:
         names = chunks.dictionary.to_pylist()
         if len(self.index) > _HELD:
             self.clear()
-        new = [c for c in names if c not in self.index]
-        if new:
-            self._learn(new)
-        known = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        known = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            k = len(self.index)
+            self._learn([names[i] for i in new.tolist()])
+            known[new] = np.arange(k, len(self.index))
         at = known[chunks.indices.to_numpy()]
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        stops = np.concatenate(([0], ends))[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]
-        return np.split(ids, stops[:-1]) if len(texts) else []
+        stops = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+        out = []
+        for a, z in zip(stops, stops[1:]):  # text by text: the arrays stay in a core's cache
+            sizes = self.sizes[at[a:z]]
+            ends = np.cumsum(sizes)
+            n = int(ends[-1]) if z > a else 0
+            out.append(self.flat[np.repeat(self.starts[at[a:z]] - ends + sizes, sizes) + np.arange(n)])
+        return out
 
 
 #: Letters of Western European languages: lower-casing and composing keep each a letter.
@@ -133,13 +143,28 @@ def tokens(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
-        for b in sliced(it):
-            out, wide = [], []
-            for ids in enc.encode(b.column(1)):
-                ids = np.append(ids, np.uint32(end_id))
-                wide.append(bool(ids.max() > 0xFFFF))
-                out.append(ids.astype("<u4" if wide[-1] else "<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wide), pa.array(out, pa.binary())], names=["doc_id", "wide", "ids"])
+        held: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+            held.clear()
+            for b in rows:
+                wide, ids = [], []
+                for x in enc.encode(b.column(1)):
+                    x = np.append(x, np.uint32(end_id))
+                    wide.append(bool(x.max() > 0xFFFF))
+                    ids.append(x.astype("<u4" if wide[-1] else "<u2").tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wide), pa.array(ids, pa.binary())], names=["doc_id", "wide", "ids"])
+
+        size = 0
+        for b in sliced(it):  # the more texts at once, the fewer look-ups a distinct run costs
+            held.append(b)
+            size += b.column(1).nbytes
+            if size >= ENCODED_BYTES:
+                yield from out()
+                size = 0
+        if held:
+            yield from out()
 
     return docs.mapInArrow(encoded, "doc_id bigint, wide boolean, ids binary")
 
@@ -272,7 +297,7 @@ def read_back(files: DataFrame, folder: str) -> DataFrame:
     # one row a file: the only table that is ordered as a whole
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     at = files.select("path", F.coalesce(F.sum("tokens").over(order), F.lit(0)).cast("long").alias("start"))
-    at = at.repartition("path")
+    at = at.repartition(max(1, min(files.count(), READERS)))
     return at.mapInArrow(decoded, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
