@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandsift.llm.common import field, forget, materialised, sliced, texts, tuned
+from strandsift.llm.common import field, forget, materialised, scratch, sliced, texts, tuned
 from strandsift.llm.components import connected_components, spanning_links
 
 #: Tokens of a signature, independent trees, positions that a node picks.
@@ -201,18 +201,21 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     and one result each. An empty table gives an empty one.
     """
     tuned(docs.sparkSession)
-    all_texts = texts(docs, id_col, text_col)
-    signed = materialised(all_texts.mapInArrow(_signed(width), "doc_id bigint, n bigint, h1 bigint, h2 bigint, sig binary"), "signed")
+    with scratch() as keep:
+        return _groups(texts(docs, id_col, text_col), width, percent, keep)
+
+
+def _groups(all_texts: DataFrame, width: int, percent: int, keep) -> DataFrame:
+    signed = keep(materialised(all_texts.mapInArrow(_signed(width), "doc_id bigint, n bigint, h1 bigint, h2 bigint, sig binary"), "signed"))
     # documents of one set are one node; minima are formed before the shuffle, whatever the copies
-    same = materialised(signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "same")
+    same = keep(materialised(signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "same"))
     reps = materialised(signed.join(same.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").select("doc_id", "n", "sig").dropDuplicates(["doc_id"]), "reps")
     clusters = connected_components(_loose_links(reps, percent))
     sizes = clusters.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     members = materialised(clusters.join(sizes, "comp").select("id", F.col("comp").alias("grp"), "size"), "members")
     chosen = all_texts.join(members.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "grp", "size")
     sets = materialised(chosen.mapInArrow(_sets(width), "grp bigint, id bigint, n bigint, data binary, size bigint"), "sets")
-    comps = connected_components(spanning_links(sets, _by_set(percent)).select("a", "b"))
-    forget(sets)
+    comps = keep(connected_components(spanning_links(sets, _by_set(percent)).select("a", "b")))
     placed = signed.select("doc_id", "n", "h1", "h2").join(same.select("h1", "h2", "rep"), ["h1", "h2"], "left")
     placed = placed.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     comp = F.coalesce("comp", "rep", "doc_id").alias("component_id")

@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,9 +75,37 @@ def materialised(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._strandsift_path = path
+    if _made:
+        _made[-1].append(back)
     return back
 
 
+#: The tables of the scratch blocks that are open, innermost last.
+_made: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables materialised in the block go at its end, but for those passed to the function that it yields."""
+    made: list[DataFrame] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._strandsift_path)
+        if len(_made) > 1:
+            _made[-2].append(df)
+        return df
+
+    _made.append(made)
+    try:
+        yield keep
+    finally:
+        _made.pop()
+        for df in made:
+            if df._strandsift_path not in kept:
+                forget(df)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a materialised table that nothing will read again."""
     path = getattr(df, "_strandsift_path", None)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandsift.llm.common import forget, materialised
+from strandsift.llm.common import forget, materialised, scratch
 
 #: Rows of a block; two blocks are compared in memory at a time.
 BLOCK = 128
@@ -23,6 +23,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     same component; a round without change ends it. Each round is a table in
     the shared folder.
     """
+    with scratch() as keep:
+        return keep(_labels(links))
+
+
+def _labels(links: DataFrame) -> DataFrame:
     both = links.where("a <> b").select("a", "b").union(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = materialised(both.distinct(), "edges")
     labels = materialised(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "labels")
@@ -35,8 +40,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         forget(labels)
         labels = new
         if not moved:
-            forget(edges)
-            return labels.select("id", "comp")
+            return materialised(labels.select("id", "comp"), "components")
 
 
 def label_by_search(n: int, near: Callable[[int], np.ndarray]) -> np.ndarray:
@@ -108,6 +112,11 @@ def spanning_links(rows: DataFrame, near_of, block: int = BLOCK) -> DataFrame:
     to the group's commonest such member are compared with every block. Pairs
     of two rows that are linked to it need no look, and no link is missed.
     """
+    with scratch() as keep:
+        return keep(_spanning(rows, near_of, block))
+
+
+def _spanning(rows: DataFrame, near_of, block: int) -> DataFrame:
     run = _linked(near_of)
     schema = "grp bigint, a bigint, b bigint"
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("long")
