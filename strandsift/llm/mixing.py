@@ -77,10 +77,11 @@ def replicate(
     """
     docs = docs.where(field(id_col).isNotNull())
     table = rates(docs, source_col, text_col, weights, exponent).select(F.col("source").alias("__mix_source"), F.col("cdf").alias("__mix_cdf"))
-    keep = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key", "__mix_source", "__mix_cdf")]
-    out = docs.withColumn("__mix_source", F.coalesce(field(source_col).cast("string"), F.lit(""))).join(table, "__mix_source")
-    u = _uniform(seed, field(id_col).cast("string"))
-    count = F.size(F.filter(F.col("__mix_cdf"), lambda p: p <= u))
+    keep = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key", "__mix_source", "__mix_cdf", "__mix_u")]
+    # the draw is made before the join: inside the filter it would be made anew for each element
+    drawn = docs.withColumn("__mix_source", F.coalesce(field(source_col).cast("string"), F.lit(""))).withColumn("__mix_u", _uniform(seed, field(id_col).cast("string")))
+    out = drawn.join(table, "__mix_source")
+    count = F.size(F.filter(F.col("__mix_cdf"), lambda p: p <= F.col("__mix_u")))
     out = out.withColumn("__mix_n", count).where(F.col("__mix_n") > 0)
     out = out.select(*[field(c) for c in keep], F.explode(F.sequence(F.lit(1), F.col("__mix_n"))).alias("copy"))
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed + "-order"), field(id_col).cast("string"), F.col("copy").cast("string"))))
