@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 
 from strandsift.operators.exact import keys_of
 from strandsift.operators.ordered import with_previous
-from strandsift.operators.storage import materialised
 
 
 def _fold(keys: list[str], distance: int):
@@ -54,6 +53,6 @@ def hamming_heads(units: DataFrame, distance: int = 2) -> DataFrame:
     local = F.sum("__break").over(Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("__n", local).join(F.broadcast(before), F.col("part") == F.col("p"))  # one row a partition
     rows = rows.select(*units.columns, (F.col("__n") + F.col("before")).alias("segment"))
-    rows = materialised(rows, "segments").repartition("segment").sortWithinPartitions("segment", *keys)
+    rows = rows.repartition("segment").sortWithinPartitions("segment", *keys)
     schema = T.StructType([*rows.schema.fields, T.StructField("head_ord", T.LongType())])
     return rows.mapInArrow(_fold(keys, distance), schema).drop("segment")
