@@ -49,7 +49,7 @@ class Shingler:
     """Hashed sets of word shingles. Words are runs without ASCII white space, A-Z in lower case."""
 
     def __init__(self, width: int):
-        self.width, self.memo = width, {}
+        self.width, self.memo, self.held = width, {}, 0
 
     def __call__(self, text: str) -> np.ndarray:
         """The sorted hashes of the distinct shingles; of a shorter text, its whole sequence; none without words."""
@@ -58,9 +58,11 @@ class Shingler:
         if not n:
             return np.zeros(0, np.uint64)
         memo = self.memo
-        if len(memo) > 300_000:
+        if len(memo) > 300_000 or self.held > 32 << 20:  # words that are remembered, and their bytes
             memo.clear()
+            self.held = 0
         new = set(words).difference(memo)
+        self.held += sum(map(len, new))
         memo.update(zip(new, map(xxhash.xxh3_64_intdigest, new)))
         h = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
         w = min(self.width, n)

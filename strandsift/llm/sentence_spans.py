@@ -57,7 +57,9 @@ class Cutter:
                 try:
                     e = ends[w]
                 except KeyError:
-                    e = ends[w] = self.ends_piece(w)
+                    e = self.ends_piece(w)
+                    if len(w) <= 64:
+                        ends[w] = e
                 if e or k - last == LONGEST:
                     stops.append(k)
                     last = k
