@@ -107,7 +107,7 @@ class Encoder:
         lists = pc.ascii_split_whitespace(texts)
         chunks = lists.flatten().dictionary_encode()
         names = chunks.dictionary.to_pylist()
-        if len(self.index) > _HELD:
+        if len(self.index) > _HELD or self.used > 16 * _HELD:
             self.clear()
         known = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(known < 0)
