@@ -12,6 +12,8 @@ Jaccard similarity of their weights; a fingerprint keeps 16 bits a sample.
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -169,13 +171,19 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, i
     got = docs.agg(F.min("doc_id").alias("least"), F.percentile_approx("doc_id", probs or [0.5], F.lit(20 * n)).alias("q")).first()
     bounds = sorted({got["least"], *(got["q"] or [])} - {None})
     n = max(1, len(bounds))
-    edges = F.array(*[F.lit(x).cast("long") for x in bounds]) if bounds else F.array(F.lit(0).cast("long"))
-    own = (F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))) - 1).alias("own")
-    rows = docs.select("doc_id", "text", own, F.array_contains(edges, F.col("doc_id")).alias("first"))
+    # two short searches rather than a long one: the chunk of bounds, then the bound in it
+    step = max(1, math.isqrt(n))
+    chunks = [bounds[i : i + step] for i in range(0, len(bounds), step)] or [[0]]
+    coarse = F.from_json(F.lit(json.dumps([c[0] for c in chunks])), "array<bigint>")
+    fine = F.from_json(F.lit(json.dumps(chunks)), "array<array<bigint>>")
+    upto = lambda a: F.size(F.filter(a, lambda e: e <= F.col("doc_id")))
+    rows = docs.select("doc_id", "text", upto(coarse).alias("chunk"))
+    rows = rows.select("doc_id", "text", "chunk", F.element_at(fine, F.col("chunk")).alias("bounds"))
+    rows = rows.select("doc_id", "text", ((F.col("chunk") - 1) * step + upto(F.col("bounds")) - 1).alias("own"), F.array_contains("bounds", F.col("doc_id")).alias("first"))
     place = lambda b, p: F.struct(b.cast("int").alias("bucket"), F.lit(p).alias("peek"))
     places = F.when(F.col("first"), F.array(place(F.col("own"), 0), place((F.col("own") + n - 1) % n, 1))).otherwise(F.array(place(F.col("own"), 0)))
     rows = rows.select(F.explode(places).alias("at"), "doc_id", "text").select("at.bucket", "at.peek", "doc_id", "text")
-    return rows.repartition(max(n, 1), "bucket").sortWithinPartitions("bucket", "peek", "doc_id", "text"), n
+    return rows.repartitionByRange(n, "bucket").sortWithinPartitions("bucket", "peek", "doc_id", "text"), n
 
 
 _OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
