@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from strandsift.llm.common import shuffle_parts, sliced, texts, tuned
 
-SAMPLES = 64
+SAMPLES = 128
 #: A word's weight is count * min(length, LONG) ** POWER.
 POWER, LONG = 2.0, 12
 #: Words whose draws a worker keeps.

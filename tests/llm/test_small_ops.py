@@ -42,6 +42,19 @@ def test_likeness_is_generalised_jaccard(rng):
     assert abs((c[0] == c[1]).mean() - true) < 4 * math.sqrt(true * (1 - true) / 2048) + 0.005
 
 
+def test_likeness_at_the_samples_in_use():
+    """The root mean square error of 600 pairs is that of 128 samples; 64 would give 0.06 at a likeness of 0.5."""
+    s = weighted_minhash.Sampler()
+    errors = []
+    for k in range(600):
+        both, own, other = ([f"w{k:05}{side}{i:02}" for i in range(n)] for side, n in (("s", 24), ("a", 12), ("b", 12)))
+        c = s.codes([" ".join(both + own), " ".join(both + other)])
+        errors.append(weighted_minhash.likeness(c[0], c[1]) - 0.5)
+    assert s.samples == 128
+    assert math.sqrt(np.mean(np.square(errors))) < 0.051
+    assert abs(np.mean(errors)) < 0.01
+
+
 def test_fingerprints_of_odd_rows(spark, odd_docs):
     rows = weighted_minhash.fingerprints(odd_docs).collect()
     assert sorted(r.doc_id for r in rows) == [1, 2, 3, 4, 4, 7]
