@@ -1,12 +1,14 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences, and long sentences further after words that a
-hash picks and after LONGEST words, so that a passage is cut alike wherever it
-stands, from the first end of a sentence or picked word in it on. From every
-sentence the shortest run of at least SPAN sentences and MIN_WORDS words is
-hashed. A hash that occurs in several documents stays in the one with the
-smallest id; everywhere else, and from its second occurrence in a document on,
-all sentences of the run are removed. White space and case do not matter.
+A text is cut into sentences, and these further after each word whose hash is
+the least of some GAP neighbouring words, so that no piece is longer than GAP
+words and a passage is cut alike wherever it stands, but for its first and
+last GAP words. Between any two cuts, the shortest run of at least SPAN pieces
+and MIN_WORDS words from the one on, or back from the other, is hashed. Two
+texts that share 3 * GAP + MIN_WORDS - 2 = 45 words share a run. A hash that
+occurs in several documents stays in the one with the smallest id; everywhere
+else, and from its second occurrence in a document on, all pieces of the run
+are removed. White space, line ends too, and case do not matter.
 """
 
 from __future__ import annotations
@@ -23,67 +25,90 @@ from pyspark.sql import functions as F
 from strandsift.llm.common import materialised, plain_names, sliced, texts, tuned
 
 SPAN, MIN_WORDS = 3, 20
-#: One word in so many ends a piece of its sentence.
-CUT = 10
-#: Words of a piece, at most.
-LONGEST = 12
+#: Words of a piece, at most; 2 * GAP < MIN_WORDS, so that MIN_WORDS words always are SPAN pieces, unless the text ends.
+GAP = 9
+#: Of the runs' hashes, modulo 2 ** 64; 5 modulo 8 gives the longest period.
+BASE = 0x9E3779B97F4A7C15
 _CLOSED = frozenset(".!?…")
 _QUOTES = "\"')]}»”’"
 
 
 class Cutter:
-    """Remembers which words end a piece; the answer depends on the word only."""
+    """Cuts texts into pieces; remembers the words' hashes, which depend on the word only."""
 
     def __init__(self) -> None:
-        self.ends: dict[str, bool] = {}
+        self.hashes: dict[str, int] = {}
+        self.powers = self.inverse = np.ones(1, np.uint64)
 
-    def ends_piece(self, word: str) -> bool:
+    def hash(self, word: str) -> int:
+        """Even if the word ends a sentence, else odd."""
         tail = word.rstrip(_QUOTES)
-        return bool(tail) and tail[-1] in _CLOSED or xxhash.xxh3_64_intdigest(word.lower()) % CUT == 0
-
-    def pieces(self, text: str) -> tuple[list[str], list[int]]:
-        """(lower-case words, the number of words up to the end of each piece)."""
-        ends = self.ends
-        if len(ends) > 500_000:
-            ends.clear()
-        words: list[str] = []
-        stops: list[int] = []
-        for line in text.lower().split("\n"):
-            own = line.split()
-            if not own:
-                continue
-            last = len(words)
-            for k, w in enumerate(own, len(words) + 1):
-                try:
-                    e = ends[w]
-                except KeyError:
-                    e = self.ends_piece(w)
-                    if len(w) <= 64:
-                        ends[w] = e
-                if e or k - last == LONGEST:
-                    stops.append(k)
-                    last = k
-            words += own
-            if not stops or stops[-1] != len(words):
-                stops.append(len(words))
-        return words, stops
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) | 1
+        return h ^ 1 if tail and tail[-1] in _CLOSED else h
+
+    def pieces(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(the lower-case words' hashes, the number of words up to the end of each piece)."""
+        held = self.hashes
+        if len(held) > 500_000:
+            held.clear()
+        words = text.lower().split()
+        n = len(words)
+        if not n:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        new = set(words).difference(held)
+        held.update((w, self.hash(w)) for w in new)
+        hashes = np.fromiter(map(held.__getitem__, words), np.uint64, n)
+        for w in new:
+            if len(w) > 64:
+                del held[w]
+        ends = hashes & np.uint64(1) == 0
+        v = np.where(ends, np.uint64(0), hashes)
+        if n >= GAP:
+            # a word is the least of some window if its rank is the greatest minimum of the windows that hold it
+            least = _slide(np.minimum, v)
+            edge = np.zeros(GAP - 1, np.uint64)
+            ends |= _slide(np.maximum, np.concatenate([edge, least, edge])) == v
+        ends[-1] = True
+        return hashes, np.flatnonzero(ends) + 1
 
     def spans(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """(hashes, first pieces, pieces past the last) of the runs."""
         words, stops = self.pieces(text)
-        hashes, firsts, lasts = [], [], []
-        n, j, start = len(stops), 0, 0
-        for i in range(n):
-            j = max(j, i + SPAN - 1)
-            while j < n and stops[j] - start < MIN_WORDS:
-                j += 1
-            if j >= n:
-                break
-            hashes.append(xxhash.xxh3_64_intdigest(" ".join(words[start : stops[j]])) - (1 << 63))
-            firsts.append(i)
-            lasts.append(j + 1)
-            start = stops[i]
-        return hashes, firsts, lasts
+        n = len(stops)
+        if n < SPAN:
+            return [], [], []
+        starts = np.concatenate([np.zeros(1, np.int64), stops])[:n]
+        firsts = np.arange(n)
+        lasts = np.maximum(firsts + SPAN, np.searchsorted(stops, starts + MIN_WORDS) + 1)
+        firsts, lasts = firsts[lasts <= n], lasts[lasts <= n]
+        # the runs back from the ends that none of these has
+        hit = np.zeros(n + 1, bool)
+        hit[lasts] = hit[0] = True
+        more = np.flatnonzero(~hit)
+        back = np.minimum(more - SPAN, np.searchsorted(starts, stops[more - 1] - MIN_WORDS, "right") - 1)
+        firsts, lasts = np.concatenate([firsts, back[back >= 0]]), np.concatenate([lasts, more[back >= 0]])
+        order = np.argsort(firsts, kind="stable")
+        firsts, lasts = firsts[order], lasts[order]
+        # sum(hash of word k * BASE ** k) over the run, moved to start at the power 0
+        while len(self.powers) < len(words):
+            for name, base in (("powers", BASE), ("inverse", pow(BASE, -1, 1 << 64))):
+                v = getattr(self, name)
+                setattr(self, name, np.concatenate([v, v * np.uint64(pow(base, len(v), 1 << 64))]))
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * self.powers[: len(words)])])
+        a = starts[firsts]
+        h = (upto[stops[lasts - 1]] - upto[a]) * self.inverse[a]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h ^ (h >> np.uint64(32))).view(np.int64).tolist(), firsts.tolist(), lasts.tolist()
+
+
+def _slide(of: np.ufunc, v: np.ndarray) -> np.ndarray:
+    """``of`` over each window of GAP neighbours."""
+    out, width = v, 1
+    while width < GAP:
+        step = min(width, GAP - width)
+        out = of(out[: len(out) - step], out[step:])
+        width += step
+    return out
 
 
 def _hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +140,7 @@ def without(cutter: Cutter, text: str, seen: set[int]) -> str:
     _, stops = cutter.pieces(text)
     starts = [m.start() for m in re.finditer(r"\S+", text)] + [len(text)]
     kept, at = [], 0
-    for i, stop in enumerate(stops):
+    for i, stop in enumerate(stops.tolist()):
         if i not in gone:
             kept.append(text[starts[at] if at else 0 : starts[stop]])
         at = stop

@@ -125,6 +125,41 @@ def test_passages_of_fifty_words_go_wherever_they_stand(rng):
         assert gone >= 20
 
 
+def windows(text, n=50):
+    w = text.lower().split()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+@pytest.mark.parametrize("sentence", [0, 15, 25])
+def test_no_window_of_fifty_words_stays(rng, sentence):
+    """A scan of all windows, without the operator's cuts: passages of 50 to 60 words, wrapped anew, in other surroundings."""
+
+    def prose(n):
+        return [f"w{rng.randrange(4000)}" + ("." if sentence and rng.randrange(sentence) == 0 else "") for _ in range(n)]
+
+    def wrapped(ws):
+        return "".join(w + rng.choice([" ", " ", " ", " ", "\n", "  "]) for w in ws)
+
+    cut = sentence_spans.Cutter()
+    left = 0
+    for k in range(400):
+        passage = prose(50 + k % 11)
+        first = wrapped([*prose(rng.randint(0, 40)), *passage, *prose(rng.randint(0, 40))])
+        second = wrapped([*prose(rng.randint(0, 40)), *passage, *prose(rng.randint(0, 40))])
+        assert windows(first) & windows(second)
+        out = sentence_spans.without(cut, second, set(cut.spans(first)[0]))
+        assert not windows(first) & windows(out)
+        left += len(set(passage) & set(out.split())) / len(set(passage))
+    assert left / 400 < 0.17
+
+
+def test_runs_of_one_word_go():
+    cut = sentence_spans.Cutter()
+    first = "a start of some words " + "row " * 60 + "and an end"
+    out = sentence_spans.without(cut, "quite another start here now " + "row " * 61 + "with yet another end", set(cut.spans(first)[0]))
+    assert out.split().count("row") < 20
+
+
 def test_repeats_of_odd_rows(spark, odd_docs):
     out = sentence_spans.remove_repeats(odd_docs)
     assert out.columns == odd_docs.columns
