@@ -27,7 +27,11 @@ SURGE = 90
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|math|textarea|select|button|canvas|audio|video)\b(?:.*?</\1\s*>|.*\Z)"
+    # skipped with what they hold: to the end of the page without an end tag where browsers read them so, else the tag alone
+    r"|<(?:svg|math)(?=[\s/>])(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
+    r"|<(script|style|textarea)(?=[\s/>])(?:.*?</\1\s*>|.*\Z)"
+    r"|<(template|svg|object)(?=[\s/>]).*?</\2\s*>"
+    r"|<(noscript|iframe|select|button|canvas|audio|video)(?=[\s/>])(?:(?!<\3[\s/>]).)*?</\3\s*>"
     r"|<head(?:\s[^>]*)?>.*?(?:</head\s*>|(?=<body\b)|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*>"
@@ -40,7 +44,9 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q ruby rb rp rt s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
+    "small span strike strong sub sup time tt u var wbr "
+    "math annotation merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup "
+    "mtable mtd mtext mtr munder munderover semantics".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose end tag matters to what is furniture.
@@ -108,13 +114,13 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             if not links:
                 free += len(piece.strip())
         at = m.end()
-        tag = m[3]
+        tag = m[5]
         if tag is None:
             continue
         tag = tag.lower()
         if tag in _INLINE:
             if tag == "a":
-                links = 0 if m[2] else 1
+                links = 0 if m[4] else 1
             elif tag == "br":
                 buf.append(" ")
             continue
@@ -122,15 +128,15 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         links = 0
         if tag not in _BOXES or tag in _VOID:
             continue
-        if m[2]:
+        if m[4]:
             for k in range(len(boxes) - 1, -1, -1):
                 if boxes[k][0] == tag:
                     _, dark, body = boxes[k]
                     del boxes[k:]
                     break
-        elif not m[4].endswith("/"):
+        elif not m[6].endswith("/"):
             boxes.append((tag, dark, body))
-            if _furniture(tag, m[4], body > 0):
+            if _furniture(tag, m[6], body > 0):
                 dark += 1
             elif tag in ("article", "main"):
                 if not body:

@@ -139,6 +139,23 @@ def test_page_without_article():
     assert text == f"{long.strip()}\n\n{long.strip()}"
 
 
+@pytest.mark.parametrize(
+    "odd",
+    ["<svg-icon></svg-icon>", "<video-js></video-js>", "<svg viewBox='0 0 1 1'/>", "<svg/>", "<button>", "<select>", "<audio-player src=x></audio-player>", "<object data=x>"],
+)
+def test_odd_elements_do_not_cut_the_page(odd):
+    assert html_blocks.main_text(f"<article><p>one</p>{odd}<p>two</p></article>") == "one\n\ntwo"
+    assert html_blocks.main_text(f"<body>{odd}<article><p>one</p></article>") == "one"
+
+
+def test_text_of_formulas_stays_and_skipped_elements_go():
+    assert html_blocks.main_text("<article><p>let <math><mi>x</mi></math> be</p></article>") == "let x be"
+    for name in ("script", "svg", "button", "select", "object", "video"):
+        assert html_blocks.main_text(f"<article><p>one</p><{name} a='b'>no</{name}><p>two</p></article>") == "one\n\ntwo"
+    assert html_blocks.main_text("<button>a<article><p>one</p></article><button>b</button>") == "one"
+    assert html_blocks.main_text("<article><p>one</p><script>var a = '<p>no</p>'") == "one"
+
+
 def test_odd_pages(spark):
     for page in (None, "", "<", "<p", "<!-- x", "<script>a", "<article>", "<p class='x>y</p>", "</div></nav>", "plain"):
         assert html_blocks.main_text(page) == ("plain" if page == "plain" else html_blocks.main_text(page))
