@@ -59,8 +59,8 @@ def run(args: argparse.Namespace) -> str:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from strandsift.operators.clusters import cluster_line
-    from strandsift.operators.storage import materialised
+    from strandsift.operators.clusters import cluster_line, membership
+    from strandsift.operators.storage import forget, materialised
     from strandsift.sources.reads import read_reads
     from strandsift.sources.sink import record_text, write_ordered
 
@@ -71,20 +71,26 @@ def run(args: argparse.Namespace) -> str:
             raise ValueError(f"no record in {path}")
     options = Options(compare=args.compare_seq or "tight", distance=2 if args.distance is None else args.distance, fast=args.fast, unordered=args.unordered)
     result = dedup(sides[0], sides[1] if len(sides) > 1 else None, options)
-    kept = materialised(result.kept, "kept")
+    kept, listed = materialised(result.kept, "kept"), None
     for m, path in enumerate((args.output_1, args.output_2)[: len(sides)], 1):
         write_ordered(kept, record_text(f"r{m}", args.format), path, *result.order)
     if args.write_clusters:
         keys = [k for k in result.order if k != "ord"]
-        listed = result.clusters.join(result.annotated.select(F.col("ord").alias("member_ord"), *keys), "member_ord")
-        heads = result.annotated.where("is_head").select(F.col("ord").alias("cluster_ord"), *[F.col(k).alias("head_" + k) for k in keys])
+        annotated = materialised(result.annotated, "annotated")  # four readers
+        listed = membership(annotated.select("ord", "head_ord", *[F.col(f"r{m}.id").alias(f"id{m}") for m in range(1, len(sides) + 1)]), len(sides))
+        listed = listed.join(annotated.select(F.col("ord").alias("member_ord"), *keys), "member_ord")
+        heads = annotated.where("is_head").select(F.col("ord").alias("cluster_ord"), *[F.col(k).alias("head_" + k) for k in keys])
         listed = materialised(listed.join(heads, "cluster_ord").withColumn("later", (~F.col("is_head")).cast("int")), "clusters")
+        forget(annotated)
         for m, path in enumerate((args.output_1, args.output_2)[: len(sides)], 1):
             rows = listed.where(F.col("mate") == m)
             write_ordered(rows, cluster_line(F.col("member_id"), F.col("is_head")), path + ".clusters", *["head_" + k for k in keys], "cluster_ord", "later", *keys, "member_ord", packed=False)
-    if not args.verbose:
+    s = result.summary.first() if args.verbose else None
+    for table in (*sides, kept, listed):
+        if table is not None:
+            forget(table)
+    if s is None:
         return ""
-    s = result.summary.first()
     what = "reads" if len(sides) == 1 else "valid read pairs" if args.unordered else "read pairs"
     text = f"{s['total']} {what} processed, out of which {s['duplicates']} duplicates were removed."
     if args.unordered:
