@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandsift.llm.common import field, forget, materialised, scratch, sliced, texts, tuned
-from strandsift.llm.components import connected_components, spanning_links
+from strandsift.llm.components import places, spanning_links
 
 #: Tokens of a signature, independent trees, positions that a node picks.
 TOKENS, TREES, CHILDREN = 64, 4, 2
@@ -81,6 +81,11 @@ def signature(s: np.ndarray) -> np.ndarray:
     return best
 
 
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 def _signed(width: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
@@ -89,9 +94,9 @@ def _signed(width: int):
             for t in b.column(1).to_pylist():
                 s = shingle(t)
                 n.append(len(s))
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                h1.append(int.from_bytes(d[:8], "little", signed=True))
-                h2.append(int.from_bytes(d[8:], "little", signed=True))
+                a, z = _digest(s)
+                h1.append(a)
+                h2.append(z)
                 sig.append(signature(s).tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "h1", "h2", "sig"]
@@ -154,44 +159,74 @@ def _by_set(percent: int):
     return of
 
 
+def _by_prefix(percent: int):
+    """For spanning_links: which tokens of a set decide. Tokens that few pivots hold come first.
+
+    Of two linked sets, the first token in this order that both hold stands
+    at place p of a set of n, so that they share n - p tokens at most;
+    100 * common >= percent * all bounds p, and the other's size.
+    """
+
+    def of(pivots: list[bytes]):
+        common, count = np.unique(np.frombuffer(b"".join(pivots), np.uint64), return_counts=True)
+
+        def order(data: bytes) -> tuple[list[int], list[int]]:
+            s = np.frombuffer(data, np.uint64)
+            n = len(s)
+            known = np.zeros(n, np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                known = np.where(common[at] == s, count[at], 0)
+            first = np.lexsort((s, known))[: n - (percent * n + 99) // 100 + 1]
+            most = ((n - np.arange(len(first))) * (100 + percent) - percent * n) // percent
+            return s[first].view(np.int64).tolist(), most.tolist()
+
+        return order
+
+    return of
+
+
 def _sets(width: int):
+    """mapInArrow from (id, text, grp, size, bytes, node, h1, h2) to the sets of the nodes' texts; other texts of the same id go."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for b in sliced(it):
             sets = [shingle(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(2), b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), b.column(3)], names=["grp", "id", "n", "data", "size"]
-            )
+            own = [_digest(s) == h for s, h in zip(sets, zip(b.column(6).to_pylist(), b.column(7).to_pylist()))]
+            n, data = pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())
+            out = pa.RecordBatch.from_arrays([b.column(2), b.column(5), n, data, b.column(3), b.column(4)], names=["grp", "id", "n", "data", "size", "bytes"])
+            yield out.filter(pa.array(own, pa.bool_()))
 
     return run
 
 
 def _loose_links(reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that connect all documents that some tree brings together and whose signatures are alike."""
+    """(a, b): links that connect all nodes (id, n, sig) that some tree brings together and whose signatures are alike."""
     j = percent / 100
     least = j - SLACK * float(np.sqrt(j * (1 - j) / TOKENS))
     near_of = _by_signature(least, j)
     level = 0
     # the roots: every document stands in each tree
-    nodes = reps.select(F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)])).alias("grp"), F.lit(-1).cast("long").alias("size"), F.col("doc_id").alias("id"), "sig")
+    nodes = reps.select(F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)])).alias("grp"), F.lit(-1).cast("long").alias("size"), "id", "sig")
     found = []
     while True:
         keys = materialised(nodes.mapInArrow(_children(level), "grp bigint, up bigint, id bigint"), "nodes")
         # a table of its own: a join of two plain exchanges is one whose hot keys can be split
         sizes = materialised(keys.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.max("up").alias("up")).where("size > 1"), "sizes")
         met = keys.select("grp", "id").join(sizes, "grp")
-        met = materialised(met.join(reps.select(F.col("doc_id").alias("id"), "n", "sig"), "id").select("grp", "size", "up", "id", "n", "sig"), "met")
+        met = materialised(met.join(reps, "id").select("grp", "size", "up", "id", "n", "sig"), "met")
         forget(keys)
         level += 1
         final = F.lit(True) if level >= DEPTH else (F.col("size") <= LEAF) | ((F.col("up") > 0) & (F.col("size") >= SHRINK * F.col("up")))
-        found.append(met.where(final).select("grp", "id", "n", F.col("sig").alias("data"), "size"))
+        found.append(met.where(final).select("grp", "id", "n", F.col("sig").alias("data"), "size", (F.col("size") * (4 * TOKENS)).alias("bytes")))
         nodes = met.where(~final).select("grp", "size", "id", "sig")
-        if level >= DEPTH or nodes.limit(1).count() == 0:
+        if level >= DEPTH or nodes.isEmpty():
             break
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
-    return spanning_links(out, near_of).select("a", "b")
+    return spanning_links(out, near_of)
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,8 +234,10 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
 
     component_id is the smallest doc_id that links reach. Null and empty
     texts have no shingles, are linked with nothing and stay (kept). Rows
-    without id take no part; rows that share an id are one node of the graph
-    and one result each. An empty table gives an empty one.
+    without id take no part. Rows that share an id are linked, whatever their
+    texts (but for texts without shingles), and are one result each. Very
+    long texts count whole; blocks of them are cut by bytes. An empty table
+    gives an empty one.
     """
     tuned(docs.sparkSession)
     with scratch() as keep:
@@ -208,24 +245,34 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
 
 
 def _groups(all_texts: DataFrame, width: int, percent: int, keep) -> DataFrame:
-    signed = keep(materialised(all_texts.mapInArrow(_signed(width), "doc_id bigint, n bigint, h1 bigint, h2 bigint, sig binary"), "signed"))
+    signed = materialised(all_texts.mapInArrow(_signed(width), "doc_id bigint, n bigint, h1 bigint, h2 bigint, sig binary"), "signed")
     # documents of one set are one node; minima are formed before the shuffle, whatever the copies
-    same = keep(materialised(signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "same"))
-    reps = materialised(signed.join(same.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").select("doc_id", "n", "sig").dropDuplicates(["doc_id"]), "reps")
-    clusters = connected_components(_loose_links(reps, percent))
-    sizes = clusters.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    members = materialised(clusters.join(sizes, "comp").select("id", F.col("comp").alias("grp"), "size"), "members")
-    chosen = all_texts.join(members.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "grp", "size")
-    sets = materialised(chosen.mapInArrow(_sets(width), "grp bigint, id bigint, n bigint, data binary, size bigint"), "sets")
-    comps = keep(connected_components(spanning_links(sets, _by_set(percent)).select("a", "b")))
-    placed = signed.select("doc_id", "n", "h1", "h2").join(same.select("h1", "h2", "rep"), ["h1", "h2"], "left")
-    placed = placed.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
-    comp = F.coalesce("comp", "rep", "doc_id").alias("component_id")
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), comp).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    same = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id())
+    same = materialised(same, "same")
+    key = ["h1", "h2", "n"]
+    placed = keep(materialised(signed.select("doc_id", *key).join(same, key, "left").select("doc_id", "n", "node", "rep"), "placed"))
+    own = signed.withColumnRenamed("doc_id", "rep").join(same, [*key, "rep"]).dropDuplicates([*key, "rep"])
+    reps = materialised(own.select(F.col("node").alias("id"), "n", "sig"), "reps")
+    clusters = places(_loose_links(reps, percent))
+    sizes = materialised(clusters.join(reps.select("id", "n"), "id").groupBy("up").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("n") * 8).alias("bytes")), "sizes")
+    members = clusters.join(sizes, "up").join(same, F.col("id") == F.col("node"))
+    members = materialised(members.select(F.col("rep").alias("doc_id"), F.col("up").alias("grp"), "size", "bytes", "node", "h1", "h2"), "members")
+    chosen = all_texts.join(members, "doc_id").select("doc_id", "text", "grp", "size", "bytes", "node", "h1", "h2")
+    sets = materialised(chosen.mapInArrow(_sets(width), "grp bigint, id bigint, n bigint, data binary, size bigint, bytes bigint"), "sets")
+    links = spanning_links(sets, _by_set(percent), _by_prefix(percent))
+    # the nodes of one id
+    several = placed.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
+    several = materialised(several.select("doc_id", "a"), "several")
+    links = links.union(several.join(placed, "doc_id").select("a", F.col("node").alias("b")))
+    comps = materialised(places(links).join(same.select(F.col("node").alias("id"), "rep"), "id").select("id", "up", "rep"), "comps")
+    least = materialised(comps.groupBy("up").agg(F.min("rep").alias("first")), "least")
+    firsts = keep(materialised(comps.join(least, "up").select(F.col("id").alias("node"), "first"), "firsts"))
+    comp = F.coalesce("first", "rep", "doc_id").alias("component_id")
+    return placed.join(firsts, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), comp).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the first of their group, with all their columns; rows without id stay."""
+    """The rows of ``docs`` that are the first of their group, with all their columns; rows without id stay, rows that share an id go together."""
     out = groups(docs, width, percent, id_col, text_col)
     gone = out.where(~F.col("kept")).select(F.col("doc_id").alias("__path_gone")).distinct()
     return docs.join(gone, field(id_col).cast("long") == F.col("__path_gone"), "left_anti")

@@ -8,12 +8,12 @@ Rules that hold for every operator of this subpackage:
 * A row whose id is null cannot be addressed and takes no part.
 * Intermediate tables go to the folder named by ``spark.checkpoint.dir``,
   which driver and executors share, so a lost executor costs a reread only.
+  They are deleted when nothing reads them any more, at the latest when the
+  application ends.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandsift.operators import storage
+from strandsift.operators.storage import forget, new_path  # noqa: F401
 from strandsift.shipping import ship
 
 #: Rows of an Arrow batch handed to Python; texts of a few kB make batches of a few MB.
@@ -53,28 +55,9 @@ def plain_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = getattr(shared_dir, "own", None)
-        if held is None:
-            held = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="strandsift-")
-        base = held
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strandsift-{name}-{uuid.uuid4().hex}"
-
-
 def materialised(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._strandsift_path = path
+    """Writes ``df`` to the shared folder and reads it back; the enclosing scratch block deletes it, if there is one."""
+    back = storage.materialised(df, name, codec)
     if _made:
         _made[-1].append(back)
     return back
@@ -106,15 +89,6 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
                 forget(df)
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a materialised table that nothing will read again."""
-    path = getattr(df, "_strandsift_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

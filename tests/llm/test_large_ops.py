@@ -55,25 +55,87 @@ def test_groups_against_all_pairs(spark, make_docs, width, percent):
     assert got == brute_groups(texts, width, percent)
 
 
+def grouped(spark, rows):
+    n, size = len(rows), sum(len(r[2]) for r in rows)
+    return spark.createDataFrame([(1, *r, n, size) for r in rows], "grp long, id long, n long, data binary, size long, bytes long").repartition(3)
+
+
 def test_blocks_lose_no_link(spark):
     """Chains and pairs inside one large group: the second round must find what block 0 does not reach."""
     n = 700
-    rows = [(1, k, 1, (k if k % 3 else 3 * (k // 9)).to_bytes(4, "little"), n) for k in range(n)]
-    df = spark.createDataFrame(rows, "grp long, id long, n long, data binary, size int").repartition(3)
+    rows = [(k, 1, (k if k % 3 else 3 * (k // 9)).to_bytes(4, "little")) for k in range(n)]
 
     def near_of(ns, data):
         v = np.array([int.from_bytes(d, "little") for d in data])
         return lambda i: v == v[i]
 
-    links = components.spanning_links(df, near_of, block=32)
-    got = {r.id: r.comp for r in components.connected_components(links.select("a", "b")).collect()}
+    links = components.spanning_links(grouped(spark, rows), near_of, block=32)
+    got = {r.id: r.comp for r in components.connected_components(links).collect()}
     first = {}
-    for _, k, _, d, _ in rows:
+    for k, _, d in rows:
         first.setdefault(d, k)
-    want = {k: first[d] for _, k, _, d, _ in rows}
+    want = {k: first[d] for k, _, d in rows}
     assert {k: got.get(k, k) for k in range(n)} == want
 
 
+def brute_components(items, linked):
+    root = {k: k for k in items}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in itertools.combinations(items, 2):
+        if linked(items[a], items[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {k: find(k) for k in items}
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 30, 4000])
+def test_blocks_of_sets_lose_no_link(spark, block_bytes):
+    """Sets around several templates, many of them just above or below the threshold, of different sizes."""
+    r = np.random.default_rng(8)
+    sets = {}
+    for t in range(3):
+        template = r.integers(1, 1 << 62, 60 + 6 * t, dtype=np.uint64)
+        for k in range(90):
+            own = r.integers(1, 1 << 62, r.integers(0, 9), dtype=np.uint64)
+            sets[len(sets)] = np.unique(np.concatenate([r.permutation(template)[r.integers(0, 7) :], own]))
+    links = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+    want = brute_components(sets, links)
+    assert len(set(want.values())) > 20
+    rows = [(k, len(s), s.tobytes()) for k, s in sets.items()]
+    for prefix in (None, chosen_path._by_prefix(85)):
+        out = components.spanning_links(grouped(spark, rows), chosen_path._by_set(85), prefix, block=16, block_bytes=block_bytes)
+        got = {x.id: x.comp for x in components.connected_components(out).collect()}
+        assert {k: got.get(k, k) for k in sets} == want
+
+
+@pytest.mark.parametrize("edits", [2, 11])
+def test_links_grow_with_the_group(spark, make_docs, edits):
+    """Near copies of one text, and pages of one template just below the threshold: as many links a document in groups of any size."""
+    rng = random.Random(edits)
+    text = words(rng, 200, 10**6)
+    each = []
+    for n in (600, 1200):
+        docs = make_docs(near_copies(rng, text, n, edits) if edits == 2 else ["".join(f"{w}{rng.randrange(10**6)} " if i % 37 == 0 else w + " " for i, w in enumerate(text.split())) for _ in range(n)])
+        chosen_path.tuned(spark)
+        signed = docs.select("doc_id", F.col("text")).mapInArrow(chosen_path._signed(3), "doc_id bigint, n bigint, h1 bigint, h2 bigint, sig binary").dropDuplicates(["h1", "h2"])
+        links = chosen_path._loose_links(signed.select(F.col("doc_id").alias("id"), "n", "sig").cache(), 85)
+        each.append(links.distinct().count() / n)
+    assert max(each) < 4 and each[1] < 2.5 * each[0]
+
+
+def test_texts_of_one_id_are_linked(spark):
+    rng = random.Random(5)
+    a, b = words(rng, 60), words(rng, 60)
+    rows = [(1, a), (2, b), (3, a), (3, b), (3, ""), (9, words(rng, 60))]
+    got = chosen_path.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 1), (3, 1), (3, 3), (9, 9)]
+
+
 def test_components_of_a_chain(spark):
     df = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 102), (101, 102), (7, 7)], "a long, b long")
     got = {r.id: r.comp for r in components.connected_components(df).collect()}
