@@ -257,7 +257,8 @@ def _groups(all_texts: DataFrame, width: int, percent: int, keep) -> DataFrame:
     sizes = materialised(clusters.join(reps.select("id", "n"), "id").groupBy("up").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("n") * 8).alias("bytes")), "sizes")
     members = clusters.join(sizes, "up").join(same, F.col("id") == F.col("node"))
     members = materialised(members.select(F.col("rep").alias("doc_id"), F.col("up").alias("grp"), "size", "bytes", "node", "h1", "h2"), "members")
-    chosen = all_texts.join(members, "doc_id").select("doc_id", "text", "grp", "size", "bytes", "node", "h1", "h2")
+    # by sorting at any size, so that the disk taken grows with the texts from the start
+    chosen = all_texts.join(members.hint("merge"), "doc_id").select("doc_id", "text", "grp", "size", "bytes", "node", "h1", "h2")
     sets = materialised(chosen.mapInArrow(_sets(width), "grp bigint, id bigint, n bigint, data binary, size bigint, bytes bigint"), "sets")
     links = spanning_links(sets, _by_set(percent), _by_prefix(percent))
     # the nodes of one id
