@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandsift.llm.common import forget, materialised, scratch
 
 #: Rows of a block, and bytes of its data, about; two blocks are compared in memory at a time.
-BLOCK, BLOCK_BYTES = 128, 16 << 20
+BLOCK, BLOCK_BYTES = 64, 16 << 20
 
 #: For items with sizes and data: a function of an item that marks the items that it is linked with.
 Near = Callable[[np.ndarray, list[bytes]], Callable[[int], np.ndarray]]
