@@ -1,12 +1,18 @@
 """Main-text extraction by line-block distribution.
 
 Markup is stripped into one line per block element. A line's weight is the
-length of its text outside links, or 0 where the markup itself says that it
-is page furniture (menus, sidebars, adverts, forms, reader comments ...) or,
-if the page has an ``article`` or ``main`` element, where it lies outside it.
-Weights are summed over sliding windows of lines; text runs from a surge
-(the sum climbs above the threshold) to the next dive (it falls to the
-floor), and every weighted line in between is kept, however short.
+length of its text, or 0 where most of it is links. Menus, sidebars, footers,
+dialogs, hidden elements and reader comments are no lines at all. Lines fall
+into up to three sequences in page order: those inside ``article`` or
+``main`` weigh SURGE more each; those outside weigh a FAINT part where there
+are any inside; those in forms and in boxes whose class or id names them
+furniture (adverts, notices, sharing ...) weigh a FAINT part of that.
+
+In each sequence weights are summed over sliding windows of WINDOW lines.
+Text surges where a sum exceeds SURGE (on a page without such a window, half
+of its largest sum) and dives where the sum falls to 0. What lies between is
+kept whole, with the weighted lines that lead up to the surge. So a class word
+takes weight away but cannot drop an article, nor a box with much text.
 """
 
 from __future__ import annotations
@@ -14,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +28,10 @@ from pyspark.sql import DataFrame
 from strandsift.llm.common import field, sliced, tuned
 
 WINDOW = 3
-#: Characters in a window that count as a surge on pages without article or main element.
+#: Characters in a window that count as a surge.
 SURGE = 90
+#: What is left of the weight of a line outside the article, and of one in a box that its name calls furniture.
+FAINT = 0.1
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -53,56 +62,73 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BOXES = frozenset(
     "article aside blockquote body details dialog div dl fieldset figure footer form header html main menu nav ol section table ul".split()
 )
-_FURNITURE = frozenset("nav aside footer form menu dialog".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
+_FURNITURE = frozenset("nav aside footer menu dialog".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog toolbar".split())
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promotion banner menu nav navbar "
     "navigation breadcrumb breadcrumbs sidebar sidebars widget widgets masthead topbar cookie cookies consent gdpr notice notices notification "
     "popup modal overlay newsletter subscribe subscription signup login signin share sharing social related recommended recommendations "
-    "comment comments commentlist disqus replies reply respond search searchform pager pagination copyright toolbar skip aside footer".split()
+    "search searchform pager pagination copyright toolbar skip aside footer".split()
+)
+_COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: With these, a name still means the element; with others, as in "recommended-reading-notes", it need not.
+_NEUTRAL = frozenset(
+    "area bar block body bottom box button buttons card cards col column container content feed form group header holder icons inner item items layer left "
+    "links list main module outer page panel popular post posts primary right row secondary section site slot story stories text thread title "
+    "top unit wrap wrapper block".split()
 )
 
-#: As in class="no-sidebar": the words then speak of the page, not of the element.
-_NEGATED = frozenset("no not with without has".split())
+#: What an element does to the lines in it.
+_DARK, _SAID, _DIM = "dark", "said", "dim"
 
 
-def _furniture(tag: str, attrs: str, in_body: bool) -> bool:
+def _kind(tag: str, attrs: str, in_body: bool) -> str | None:
+    """_DARK: no lines; _SAID: reader comments, no lines either; _DIM: faint lines."""
     if tag in _FURNITURE or (tag == "header" and not in_body):
-        return True
+        return _DARK
+    found = _DIM if tag == "form" else None
     if not attrs or tag in ("html", "body", "main"):
-        return False
+        return found
     for m in _NAMED.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "role":
-            if value.lower() in _ROLES:
-                return True
-        elif name in ("class", "id"):
-            words = {w.lower() for w in _PART.findall(value)}
-            if words & _WORDS and not words & _NEGATED:
-                return True
-            if "header" in words and not in_body and tag != "h1":
-                return True
-    return False
-
-
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """([(text, characters outside links, in an article or main element) of each block that is no furniture], whether there is such an element)."""
-    lines: list[tuple[str, int, bool]] = []
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in _ROLES):
+            return _DARK
+        if name in ("class", "id"):
+            for one in value.split():
+                words = {w.lower() for w in _PART.findall(one) if not w.isdigit()}
+                if words & _COMMENTS and words <= _COMMENTS | _WORDS | _NEUTRAL:
+                    return _SAID
+                if tag != "article" and words <= _WORDS | _NEUTRAL and (words & _WORDS or ("header" in words and not in_body and tag != "h1")):
+                    found = _DIM
+    return found
+
+
+class Line(NamedTuple):
+    text: str
+    #: Characters outside links.
+    free: int
+    #: In an article or main element.
+    inside: bool
+    #: The number of the faint box that it stands in, or 0.
+    box: int
+
+
+def lines_of(page: str) -> list[Line]:
+    """The lines of a page that are not in furniture, in page order."""
+    lines: list[Line] = []
     buf: list[str] = []
     free = 0  # characters outside links
     links = 0
-    boxes: list[tuple[str, int, int]] = []  # name, furniture and body depth outside it
-    dark, body = 0, 0
-    found = False
+    boxes: list[tuple[str, int, int, int, int]] = []  # name, and outside it: dark, said, faint box, body depth
+    dark, said, dim, body = 0, 0, 0, 0
+    named = 0
 
     def flush() -> None:
         nonlocal free
         if buf:
             text = " ".join(html.unescape("".join(buf)).split())
-            if text and not dark:
-                lines.append((text, min(free, len(text)), body > 0))
+            if text and not dark and not said:
+                lines.append(Line(text, min(free, len(text)), body > 0, dim))
             buf.clear()
         free = 0
 
@@ -131,55 +157,89 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if m[4]:
             for k in range(len(boxes) - 1, -1, -1):
                 if boxes[k][0] == tag:
-                    _, dark, body = boxes[k]
+                    _, dark, said, dim, body = boxes[k]
                     del boxes[k:]
                     break
         elif not m[6].endswith("/"):
-            boxes.append((tag, dark, body))
-            if _furniture(tag, m[6], body > 0):
+            boxes.append((tag, dark, said, dim, body))
+            kind = _kind(tag, m[6], body > 0)
+            if kind == _DARK:
                 dark += 1
+            elif kind == _SAID:
+                said += 1
+            elif kind == _DIM:
+                named += 1
+                dim = named
             elif tag in ("article", "main"):
                 if not body:
-                    dark = 0  # an unclosed menu before it
-                body, found = body + 1, True
+                    dark = dim = 0  # an unclosed menu before it, or a box around it
+                body += 1
     if at < len(page):
         buf.append(page[at:])
         if not links:
             free += len(page[at:].strip())
     flush()
-    return lines, found
+    return lines
+
+
+def sequences(lines: list[Line]) -> list[list[tuple[float, int]]]:
+    """The (weight, number of the line) of the lines inside the article, outside it, and in faint boxes, which are kept apart by empty windows."""
+    within = any(x.inside and not x.box for x in lines)
+    inside: list[tuple[float, int]] = []
+    outside: list[tuple[float, int]] = []
+    faint: list[tuple[float, int]] = []
+    last = 0
+    for i, x in enumerate(lines):
+        weight = float(len(x.text)) if 2 * x.free >= len(x.text) else 0.0
+        part = FAINT if within and not x.inside else 1.0
+        if x.box:
+            if x.box != last:
+                faint += [(0.0, -1)] * WINDOW
+                last = x.box
+            faint.append((weight * part * FAINT, i))
+        elif x.inside:
+            inside.append((len(x.text) + SURGE, i))
+        else:
+            outside.append((weight * part, i))
+    return [inside, outside, faint]
+
+
+def windows_of(weights: list[float]) -> list[float]:
+    return [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+
+
+def between(weights: list[float], threshold: float) -> list[int]:
+    """The places from each surge, with the weighted ones that lead up to it, to the dive after it."""
+    window = windows_of(weights)
+    out: list[int] = []
+    i, n = 0, len(weights)
+    while i < n:
+        if not (window[i] > threshold and weights[i] > 0):
+            i += 1
+            continue
+        first, floor = i, out[-1] + 1 if out else 0
+        while first > floor and weights[first - 1] > 0:
+            first -= 1
+        while i < n and window[i] > 0:
+            i += 1
+        out.extend(range(first, i))
+    return out
+
+
+def kept_lines(lines: list[Line]) -> list[int]:
+    """The numbers of the lines between surges and dives, in page order."""
+    rows = sequences(lines)
+    most = max((w for row in rows for w in windows_of([x for x, _ in row])), default=0.0)
+    threshold = min(SURGE, most / 2)
+    return sorted(row[k][1] for row in rows for k in between([x for x, _ in row], threshold) if row[k][1] >= 0)
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by an empty line; '' for a null or empty page."""
     if not page:
         return ""
-    lines, found = lines_of(page)
-    if found and any(inside for _, _, inside in lines):
-        weight = [len(t) if inside else 0 for t, _, inside in lines]
-        surge = 0
-    else:
-        weight = [n if 2 * n >= len(t) else 0 for t, n, _ in lines]
-        surge = SURGE
-    n = len(weight)
-    total = [0] * (n + 1)
-    for i, w in enumerate(weight):
-        total[i + 1] = total[i] + w
-    window = [total[min(n, i + WINDOW)] - total[i] for i in range(n)]
-    kept: list[str] = []
-    i = 0
-    while i < n:
-        if window[i] > surge and weight[i]:  # surge
-            j = i
-            while j < n and (window[j] > 0 or not surge):  # up to the dive
-                j += 1
-            kept.extend(lines[k][0] for k in range(i, j) if weight[k])
-            i = j
-        else:
-            i += 1
-    if not kept and surge:  # a page of a few short lines has no surge: all its text lines
-        kept = [t for (t, _, _), w in zip(lines, weight) if w]
-    return "\n\n".join(kept)
+    lines = lines_of(page)
+    return "\n\n".join(lines[i].text for i in kept_lines(lines))
 
 
 def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +255,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """(page_id, url, text, n_chars) of every page; null html gives the empty text.
 
     Rows stay as they are: repeated rows give repeated results, null ids and
-    urls are carried along, an empty table gives an empty result.
+    urls are carried along, an empty table gives an empty result, other
+    columns are not read whatever their names. Very long pages are taken
+    whole, one at a time.
     """
     tuned(pages.sparkSession)
     narrow = pages.select(field(id_col).cast("long").alias("page_id"), field(url_col).cast("string").alias("url"), field(html_col).cast("string").alias("html"))

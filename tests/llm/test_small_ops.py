@@ -157,8 +157,10 @@ def test_text_of_formulas_stays_and_skipped_elements_go():
 
 
 def test_odd_pages(spark):
-    for page in (None, "", "<", "<p", "<!-- x", "<script>a", "<article>", "<p class='x>y</p>", "</div></nav>", "plain"):
-        assert html_blocks.main_text(page) == ("plain" if page == "plain" else html_blocks.main_text(page))
+    odd = {None: "", "": "", "<": "<", "<p": "", "<!-- x": "", "<script>a": "", "<article>": "", "<p>a<p class='x>y</p>": "ay", "</div></nav>": "", "plain": "plain", "a < b": "a < b"}
+    assert {page: html_blocks.main_text(page) for page in odd} == odd
+    long = "<p>" + "word " * 300_000 + "</p><p>end</p>"
+    assert html_blocks.main_text(long) == ("word " * 300_000).strip() + "\n\nend"
     rows = [(1, "u", None), (None, None, "<p>x</p>"), (2, "u", ""), (2, "u", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = html_blocks.extract_pages(df).collect()
@@ -166,6 +168,61 @@ def test_odd_pages(spark):
     assert html_blocks.extract_pages(df.limit(0)).count() == 0
 
 
+def plain_windows(weights, threshold):
+    """Which of the weights lie between a surge, or the run of weights before it, and the three zeros or the end after it."""
+    n = len(weights)
+    total = lambda i: sum(weights[j] for j in range(i, min(n, i + 3)))
+    kept = [False] * n
+    for i in range(n):
+        if weights[i] and total(i) > threshold:
+            stop = next((j for j in range(i, n) if total(j) == 0), n)
+            start = next((j + 1 for j in range(i, -1, -1) if weights[j] == 0), 0)
+            for j in range(start, stop):
+                kept[j] = True
+    return [i for i in range(n) if kept[i]]
+
+
+def test_windows_against_a_plain_version(rng):
+    for _ in range(400):
+        weights = [float(rng.choice([0, 0, 0, 5, 20, 60, 200])) for _ in range(rng.randint(0, 25))]
+        assert html_blocks.between(weights, 90) == plain_windows(weights, 90)
+
+
+def test_class_words_take_weight_but_do_not_drop_text():
+    long = "A sentence of the text that goes on for some time, so that its length shows. " * 5
+    assert html_blocks.main_text('<article class="post share"><p>one</p></article>') == "one"
+    assert html_blocks.main_text('<article><p>one</p><section class="recommended-reading-notes"><p>two</p></section></article>') == "one\n\ntwo"
+    assert html_blocks.main_text('<article><p>one</p><div class="share-buttons"><p>two</p></div><p>three</p></article>') == "one\n\nthree"
+    assert html_blocks.main_text(f'<p>Skip</p><div class="widget"><p>{long}</p><p>{long}</p><p>{long}</p></div>').endswith(f"{long.strip()}\n\n{long.strip()}")
+    assert html_blocks.main_text(f"<form action=x><p>{long}</p><p>end</p></form>") == f"{long.strip()}\n\nend"
+    assert html_blocks.main_text(f'<article><p>one</p></article><section class="comments"><article class="comment"><p>{long}</p></article></section>') == "one"
+
+
+def test_lines_that_lead_up_to_a_surge_stay_and_menus_part_texts():
+    long = "A sentence of the text that goes on for some time, so that its length shows. " * 2
+    menu = "".join(f'<p><a href="/{k}">A link of the menu, number {k}</a></p>' for k in range(4))
+    page = f"<p>Imprint</p>{menu}<h1>Title</h1><p>By someone</p><p>{long}</p><p>Be.</p><p><a href=x>a source</a></p><p>End.</p>{menu}<p>Contact</p>"
+    assert html_blocks.main_text(page).split("\n\n") == ["Title", "By someone", long.strip(), "Be.", "a source", "End."]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_pages_of_the_tables_without_their_markers(sf):
+    """The same text whether article and main elements are marked or not; windows drop lines of most pages."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    dropped = 0
+    pages = [x for x in pq.read_table(f"/root/testdata/{sf}/pages.parquet")["html"].to_pylist() if x]
+    for page in pages:
+        text = html_blocks.main_text(page)
+        assert text
+        assert html_blocks.main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", page)) == text
+        lines = html_blocks.lines_of(page)
+        dropped += len(html_blocks.kept_lines(lines)) < len(lines)
+    assert dropped > 0.5 * len(pages)
+
+
 @pytest.mark.parametrize("n,buckets", [(1, 3), (6, 1), (7, 3), (8, 4), (5, 9)])
 def test_boundaries_are_optimal(rng, n, buckets):
     lengths = np.array(sorted(rng.sample(range(60), n)))
