@@ -219,24 +219,28 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 
 
 def training_ids(labels: DataFrame, label_col: str, learn, id_col: str = "doc_id", limit: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """(doc_id, label) of the labelled rows that may be learnt from: ``limit`` at most, by md5(doc_id)."""
+    """(doc_id, label) of the ids that may be learnt from: ``limit`` at most, by md5(doc_id), one row each; ids labelled both ways are left out."""
     rows = labels.select(field(id_col).cast("long").alias("doc_id"), field(label_col).cast("int").alias("label"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & learn(F.col("doc_id")))
-    return rows.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "label").limit(limit)
+    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most")
+    return rows.select("doc_id", "label").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(limit)
 
 
-def classify(docs: DataFrame, labels: DataFrame, held_out, label_col: str = "quality", limit: int = MAX_TRAINING_ROWS) -> tuple[DataFrame, Additive]:
+def classify(docs: DataFrame, labels: DataFrame, held_out, label_col: str = "quality", limit: int = MAX_TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Additive]:
     """((doc_id, held_out, score, predicted) of every document that has an id, the model).
 
     ``held_out`` maps a doc_id column to a boolean: labels of those rows are
     not learnt from. Null or empty texts have all features 0 and a score;
-    repeated rows are scored each; labels other than 0 and 1 are ignored.
+    repeated rows are scored each. Labels other than 0 and 1 are ignored, as
+    are ids labelled both ways; of texts that share a labelled id the one of
+    least features is learnt from, once. Without labels of both classes, the
+    score is a constant. ``limit`` bounds what reaches the driver.
     """
     tuned(docs.sparkSession)
-    rows = materialised(texts(docs).mapInArrow(_measured, "doc_id bigint, x array<float>"), "features")
-    some = training_ids(labels, label_col, lambda c: ~held_out(c), limit=limit)
-    # limit rows at most, so it may be broadcast and collected
-    got = rows.join(F.broadcast(some), "doc_id").select("doc_id", "x", "label").toPandas().sort_values("doc_id", kind="stable")
+    rows = materialised(texts(docs, id_col, text_col).mapInArrow(_measured, "doc_id bigint, x array<float>"), "features")
+    some = training_ids(labels, label_col, lambda c: ~held_out(c), id_col, limit)
+    # limit rows at most, so it may be broadcast, and collected by id
+    got = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("label").alias("label")).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(FEATURES))
     model = fit(x, got["label"].to_numpy(np.float64))
 

@@ -293,9 +293,68 @@ def test_naming_a_group_is_not_toxic():
     rows = [[0, 1]] * 50 + [[1]] * 10 + [[2]] * 60  # 0: women, 1: an insult, 2: men
     y = np.array([1.0] * 60 + [0.0] * 60)
     plain, _ = toxicity.fit(rows, y, [], 3)
-    fair, _ = toxicity.fit(rows, y, [([0], [2])] * 30, 3)
+    fair, _ = toxicity.fit(rows, y, [([0], [2], 30)], 3)
     assert abs(fair[0] - fair[2]) < 0.2 * abs(plain[0] - plain[2])
-    assert list(toxicity.twins("the women left. nothing here")) == [(["women"], ["boys"]), (["women"], ["girls"])]
+    swaps = toxicity.Swaps()
+    assert list(swaps("The women left. nothing here")) == [("the women left", "the boys left"), ("the women left", "the girls left")]
+    ((a, b),) = toxicity.Swaps([("x", "y")])("no name in it")
+    assert sorted((a, b)) == ["x no name in it", "y no name in it"]
+    assert not list(swaps("")) and not list(toxicity.Swaps([])("the women"))
+
+
+def test_fit_against_a_plain_descent():
+    """The same least loss as plain gradient descent finds, on a tiny table."""
+    r = np.random.default_rng(5)
+    x = (r.random((60, 4)) < 0.4).astype(float)
+    y = (r.random(60) < 1 / (1 + np.exp(2 - 3 * x[:, 0] - 2 * x[:, 1]))).astype(float)
+    a, b = np.eye(4)[[0, 0, 1]], np.eye(4)[[2, 3, 3]]
+    on = lambda m: [np.flatnonzero(v).tolist() for v in m]
+    loss = lambda w, c: -np.mean(y * np.log(s(x @ w + c)) + (1 - y) * np.log(1 - s(x @ w + c))) + toxicity.RIDGE / 8 * w @ w + toxicity.TWIN_WEIGHT * np.mean((s(a @ w + c) - s(b @ w + c)) ** 2)
+    s = lambda z: 1 / (1 + np.exp(-z))
+    v = np.zeros(5)
+    for _ in range(4000):
+        v -= 0.3 * np.array([(loss((v + e)[:4], (v + e)[4]) - loss((v - e)[:4], (v - e)[4])) / 2e-5 for e in 1e-5 * np.eye(5)])
+    w, bias = toxicity.fit(on(x), y, [(p, q, 1) for p, q in zip(on(a), on(b))], 4)
+    assert loss(w, bias) < loss(v[:4], v[4]) + 1e-3
+
+
+def test_neutral_mentions_are_left_alone(spark, make_docs):
+    """Labels that name one group in toxic texts mostly: neutral mentions are taken for toxic without the twins, not with them."""
+    rng = random.Random(9)
+    texts, labels = [], []
+    for k in range(600):
+        bad = rng.random() < 0.4
+        w = words(rng, 30).split()
+        if bad:
+            w[3] = rng.choice(["snarfol", "grubbo", "zwick"])
+        if rng.random() < (0.8 if bad else 0.02):
+            w[10] = "muslim"
+        elif rng.random() < 0.3:
+            w[10] = "christian"
+        texts.append(" ".join(w) + ".")
+        labels.append((k, 1, int(bad)))
+    docs, table = make_docs(texts), labelled(spark, labels)
+    none = lambda c: F.lit(False)
+    fair, plain = (toxicity.train(docs, table, none, twin_weight=t) for t in (toxicity.TWIN_WEIGHT, 0.0))
+    neutral = [words(rng, 12) + " muslim " + words(rng, 12) for _ in range(200)]
+    wrong = [np.mean([m.score(t) for t in neutral]) for m in (fair, plain)]
+    assert fair.twins >= 600 and wrong[0] < 0.6 * wrong[1]
+    assert np.mean([fair.score(t) >= 0.5 for t in neutral]) <= np.mean([plain.score(t) >= 0.5 for t in neutral])
+    assert np.mean([(fair.score(t) >= 0.5) == bool(x[2]) for t, x in zip(texts, labels)]) > 0.97
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_the_tables_give_twins(spark, sf):
+    read = lambda t: spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet")
+    assert toxicity.train(read("documents"), read("labels"), lambda c: F.lit(False)).twins > 0
+
+
+def test_repeated_and_contradictory_labels_count_once(spark, make_docs):
+    docs = make_docs([f"good text {k}" if k % 2 else f"snarf text {k}" for k in range(40)])
+    rows = [(k, 1, 1 - k % 2) for k in range(40)]
+    once = toxicity.train(docs, labelled(spark, rows), lambda c: F.lit(False))
+    more = toxicity.train(docs.union(docs.where("doc_id < 9")), labelled(spark, [*rows, *rows[:9], (100, 1, 0), (100, 1, 1)]), lambda c: F.lit(False))
+    assert once.weights == more.weights and once.bias == more.bias
 
 
 def test_pipeline_runs_stage_by_stage(spark):
