@@ -1,14 +1,16 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences, and these further after each word whose hash is
-the least of some GAP neighbouring words, so that no piece is longer than GAP
-words and a passage is cut alike wherever it stands, but for its first and
-last GAP words. Between any two cuts, the shortest run of at least SPAN pieces
-and MIN_WORDS words from the one on, or back from the other, is hashed. Two
-texts that share 3 * GAP + MIN_WORDS - 2 = 45 words share a run. A hash that
-occurs in several documents stays in the one with the smallest id; everywhere
-else, and from its second occurrence in a document on, all pieces of the run
-are removed. White space, line ends too, and case do not matter.
+A text is cut into sentences: after a word that ends in one of . ! ? or an
+ellipsis. Only a sentence of more than LONG words is divided further, after
+each word whose hash is the least of some GAP neighbouring words, so that it
+is cut alike wherever it stands, but for the first and last GAP words that two
+texts share. From every sentence on, and back from every one that no such run
+ends with, the shortest run of at least SPAN sentences (or parts of a long
+one) and MIN_WORDS words is hashed. Two texts that share 3 * LONG + MIN_WORDS
+- 1 = 55 words share a run; fewer do nearly always. A run that occurs in
+several documents stays in the one with the smallest id; everywhere else, and
+from its second occurrence in a document on, all its sentences are removed.
+White space, line ends too, and case do not matter.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandsift.llm.common import materialised, plain_names, sliced, texts, tuned
+from strandsift.llm.common import forget, materialised, plain_names, sliced, texts, tuned
 
-SPAN, MIN_WORDS = 3, 20
-#: Words of a piece, at most; 2 * GAP < MIN_WORDS, so that MIN_WORDS words always are SPAN pieces, unless the text ends.
-GAP = 9
-#: Of the runs' hashes, modulo 2 ** 64; 5 modulo 8 gives the longest period.
-BASE = 0x9E3779B97F4A7C15
+SPAN, MIN_WORDS = 2, 20
+#: Sentences of up to LONG words are never divided; parts of longer ones have GAP words at most.
+LONG, GAP = 12, 9
+#: Of the runs' two hashes, modulo 2 ** 64; 5 modulo 8 gives the longest period.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4D)
 _CLOSED = frozenset(".!?…")
 _QUOTES = "\"')]}»”’"
 
@@ -38,7 +40,7 @@ class Cutter:
 
     def __init__(self) -> None:
         self.hashes: dict[str, int] = {}
-        self.powers = self.inverse = np.ones(1, np.uint64)
+        self.powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in BASES]
 
     def hash(self, word: str) -> int:
         """Even if the word ends a sentence, else odd."""
@@ -62,21 +64,36 @@ class Cutter:
             if len(w) > 64:
                 del held[w]
         ends = hashes & np.uint64(1) == 0
-        v = np.where(ends, np.uint64(0), hashes)
-        if n >= GAP:
+        stops = np.flatnonzero(ends) + 1
+        sizes = np.diff(np.concatenate([np.zeros(1, np.int64), stops, np.full(1, n)]))
+        if sizes.max() > LONG:
             # a word is the least of some window if its rank is the greatest minimum of the windows that hold it
+            v = np.where(ends, np.uint64(0), hashes)
             least = _slide(np.minimum, v)
             edge = np.zeros(GAP - 1, np.uint64)
-            ends |= _slide(np.maximum, np.concatenate([edge, least, edge])) == v
+            ends |= (_slide(np.maximum, np.concatenate([edge, least, edge])) == v) & np.repeat(sizes > LONG, sizes)
         ends[-1] = True
         return hashes, np.flatnonzero(ends) + 1
 
-    def spans(self, text: str) -> tuple[list[int], list[int], list[int]]:
-        """(hashes, first pieces, pieces past the last) of the runs."""
+    def hashed(self, words: np.ndarray, starts: np.ndarray, stops: np.ndarray, which: int) -> np.ndarray:
+        """sum(hash of word k * base ** k) over each run, moved to start at the power 0, and mixed."""
+        powers, inverse = self.powers[which]
+        while len(powers) < len(words):
+            base, n = BASES[which], len(powers)
+            powers = np.concatenate([powers, powers * np.uint64(pow(base, n, 1 << 64))])
+            inverse = np.concatenate([inverse, inverse * np.uint64(pow(pow(base, -1, 1 << 64), n, 1 << 64))])
+            self.powers[which] = powers, inverse
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers[: len(words)])])
+        h = (upto[stops] - upto[starts]) * inverse[starts]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
+
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(64 bits of hash, 32 bits of another, first pieces, pieces past the last) of the runs, by their first pieces."""
         words, stops = self.pieces(text)
         n = len(stops)
         if n < SPAN:
-            return [], [], []
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         starts = np.concatenate([np.zeros(1, np.int64), stops])[:n]
         firsts = np.arange(n)
         lasts = np.maximum(firsts + SPAN, np.searchsorted(stops, starts + MIN_WORDS) + 1)
@@ -89,16 +106,8 @@ class Cutter:
         firsts, lasts = np.concatenate([firsts, back[back >= 0]]), np.concatenate([lasts, more[back >= 0]])
         order = np.argsort(firsts, kind="stable")
         firsts, lasts = firsts[order], lasts[order]
-        # sum(hash of word k * BASE ** k) over the run, moved to start at the power 0
-        while len(self.powers) < len(words):
-            for name, base in (("powers", BASE), ("inverse", pow(BASE, -1, 1 << 64))):
-                v = getattr(self, name)
-                setattr(self, name, np.concatenate([v, v * np.uint64(pow(base, len(v), 1 << 64))]))
-        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * self.powers[: len(words)])])
-        a = starts[firsts]
-        h = (upto[stops[lasts - 1]] - upto[a]) * self.inverse[a]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return (h ^ (h >> np.uint64(32))).view(np.int64).tolist(), firsts.tolist(), lasts.tolist()
+        h, g = (self.hashed(words, starts[firsts], stops[lasts - 1], k) for k in (0, 1))
+        return h.view(np.int64), (g >> np.uint64(32)).astype(np.uint32).view(np.int32), firsts, lasts
 
 
 def _slide(of: np.ufunc, v: np.ndarray) -> np.ndarray:
@@ -114,27 +123,35 @@ def _slide(of: np.ufunc, v: np.ndarray) -> np.ndarray:
 def _hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cutter = Cutter()
     for b in sliced(it):
-        hs, ds = [], []
+        hs, gs, ds = [], [], []
         for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            own = list(dict.fromkeys(cutter.spans(t)[0]))
-            hs.append(np.array(own, np.int64))
-            ds.append(np.full(len(own), d, np.int64))
+            h, g, _, _ = cutter.spans(t)
+            if len(h):
+                _, at = np.unique(h, return_index=True)
+                if len(at) < len(h):
+                    _, at = np.unique(np.stack([h, g]), axis=1, return_index=True)
+                    h, g = h[at], g[at]
+                hs.append(h)
+                gs.append(g)
+                ds.append(np.full(len(h), d, np.int64))
         if hs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ds))], names=["h", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(gs)), pa.array(np.concatenate(ds))], names=["h", "g", "doc_id"])
 
 
-def without(cutter: Cutter, text: str, seen: set[int]) -> str:
-    """``text`` without the pieces of runs whose hash is in ``seen`` or has come before in the text itself."""
-    hashes, firsts, lasts = cutter.spans(text)
-    own: dict[int, int] = {}  # the end of a hash's first run
+def without(cutter: Cutter, text: str, seen: set[tuple[int, int]]) -> str:
+    """``text`` without the sentences of runs whose hashes are in ``seen`` or have come before in the text itself."""
+    hs, gs, firsts, lasts = cutter.spans(text)
+    if not seen and len(np.unique(hs)) == len(hs):
+        return text
+    own: dict[tuple[int, int], int] = {}  # the end of a run's first occurrence
     gone: set[int] = set()
-    for h, a, z in zip(hashes, firsts, lasts):
-        if h in seen:
+    for key, a, z in zip(zip(hs.tolist(), gs.tolist()), firsts.tolist(), lasts.tolist()):
+        if key in seen:
             gone.update(range(a, z))
-        elif h in own:
-            gone.update(range(max(a, own[h]), z))
+        elif key in own:
+            gone.update(range(max(a, own[key]), z))
         else:
-            own[h] = z
+            own[key] = z
     if not gone:
         return text
     _, stops = cutter.pieces(text)
@@ -148,12 +165,18 @@ def without(cutter: Cutter, text: str, seen: set[int]) -> str:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, seen array<bigint>): the hashes that a document shares with one of a smaller id."""
-    spans = materialised(docs.mapInArrow(_hashed, "h bigint, doc_id bigint"), "spans")
+    """(doc_id, seen array<struct<h, g>>) of (doc_id, text): the runs that a document shares with one of a smaller id, by 96 bits of hash."""
+    tuned(docs.sparkSession)
+    spans = materialised(docs.mapInArrow(_hashed, "h bigint, g int, doc_id bigint"), "spans")
     # counts and minima are formed before the shuffle, so a common passage costs one row a task
-    shared = spans.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
-    later = spans.join(shared, "h").where(F.col("doc_id") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("h").alias("seen"))  # at most a document's own runs
+    shared = spans.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", "first")
+    # a table of its own: a join of two plain exchanges is one whose hot keys can be split
+    shared = materialised(shared, "shared")
+    later = spans.join(shared, ["h", "g"]).where(F.col("doc_id") > F.col("first"))
+    seen = materialised(later.groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("seen")), "seen")  # at most a document's own runs
+    for table in (spans, shared):
+        forget(table)
+    return seen
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
@@ -162,9 +185,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Every row stays, if need be with an empty text. Null texts stay null;
     rows without id are not compared with others. Rows that share an id count
     as one document: what they share with each other is kept. An empty table
-    gives an empty one.
+    gives an empty one. Very long texts are taken whole.
     """
-    tuned(docs.sparkSession)
     seen = repeated(texts(docs, id_col, text_col)).select(F.col("doc_id").alias("span_doc"), F.col("seen").alias("span_seen"))
     plain = plain_names(docs)
     place = {name: k for k, name in enumerate(docs.columns)}
@@ -175,7 +197,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cutter = Cutter()
         for b in sliced(it, f"c{text}"):
             *cols, hits = b.columns
-            new = [t if t is None else without(cutter, t, set(s or ())) for t, s in zip(cols[text].to_pylist(), hits.to_pylist())]
+            new = [t if t is None else without(cutter, t, {(x["h"], x["g"]) for x in s or ()}) for t, s in zip(cols[text].to_pylist(), hits.to_pylist())]
             cols[text] = pa.array(new, pa.string())
             if chars is not None:
                 cols[chars] = pa.array([0 if t is None else len(t) for t in new], pa.int64()).cast(cols[chars].type)
