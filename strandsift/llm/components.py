@@ -13,6 +13,8 @@ from strandsift.llm.common import forget, materialised, scratch
 
 #: Rows of a block, and bytes of its data, about; two blocks are compared in memory at a time.
 BLOCK, BLOCK_BYTES = 64, 16 << 20
+#: Blocks that make one wide block, in which the rest of a group meets the group.
+WIDE = 4
 
 #: For items with sizes and data: a function of an item that marks the items that it is linked with.
 Near = Callable[[np.ndarray, list[bytes]], Callable[[int], np.ndarray]]
@@ -166,7 +168,7 @@ def _hubs(near_of: Near):
 
 
 def _across(near_of: Near):
-    """mapInArrow from (grp, left block, right block, id, n, data, right, head) to links (a, b) of heads that are not linked by others of the pair of blocks."""
+    """mapInArrow from (grp, part, wide, id, n, data, right, head) to links (a, b) of heads that are not linked by others of the pair of blocks."""
 
     def of(rows: Iterator[tuple[tuple, list[tuple]]]) -> Iterator[tuple]:
         for _, held in rows:
@@ -189,10 +191,10 @@ def _across(near_of: Near):
 
 
 def _tokens(prefix: Callable):
-    """mapInArrow from (grp, sub, id, n, data, pivot, part, block) to (grp, token, part, block, most, least).
+    """mapInArrow from (grp, sub, id, n, data, pivot, part, wide) to (grp, token, part, wide, most, least).
 
     The tokens of each row of the block that another row needs one of to be
-    linked with it, by ``prefix``: one row a token, side and block, with the
+    linked with it, by ``prefix``: one row a token, side and wide block, with the
     largest size of a partner and the least size of its own rows.
     """
 
@@ -200,17 +202,17 @@ def _tokens(prefix: Callable):
         for (grp, sub), held in rows:
             order = prefix([x[2] for x in held if x[3]])
             best: dict[tuple, list[int]] = {}
-            for _, n, data, pivot, part, block in held:
+            for _, n, data, pivot, part, wide in held:
                 if pivot and sub != 1:
                     continue
                 for token, most in zip(*order(data)):
-                    for key in ((token, None, block), (token, part, None))[: 1 + (part is not None)]:
+                    for key in ((token, None, wide), (token, part, None))[: 1 + (part is not None)]:
                         seen = best.setdefault(key, [most, n])
                         seen[0], seen[1] = max(seen[0], most), min(seen[1], n)
             yield from ((grp, *key, *v) for key, v in best.items())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _emitted(of(_grouped(it, 2)), ["grp", "token", "part", "block", "most", "least"], [pa.int64()] * 6)
+        return _emitted(of(_grouped(it, 2)), ["grp", "token", "part", "wide", "most", "least"], [pa.int64()] * 6)
 
     return run
 
@@ -223,12 +225,14 @@ def spanning_links(rows: DataFrame, near_of: Near, prefix: Callable | None = Non
     blocks along a hash of the id, and every block is compared together with
     block 0, the pivots: each row gets one link, to the head of what it is
     linked with. Rows that do not reach the pivots' most common component are
-    the rest; blocks of the rest are compared with every block, but only
-    across different heads, and each link found joins two heads. Pairs of two
-    rows that are not of the rest need no look, and no link is missed. So a
-    group has about as many links as rows.
-
-    With ``prefix``, blocks of the rest meet only blocks with which they share
+    the rest; wide blocks of the rest are compared with all wide blocks, but
+    only across different heads, and each link found joins two heads. Pairs
+    of two rows that are not of the rest need no look, and no link is missed.
+    So a group has about as many links as rows. What is compared grows with
+    rest times group, and the rows copied for it with that over WIDE * block:
+    a group without a common core is the dear case.
+
+    With ``prefix``, wide blocks of the rest meet only those with which they share
     a token that a link needs. prefix(data of the pivots) gives a function
     from a row's data to (tokens, largest sizes of a partner whose first
     common token is this one).
@@ -263,23 +267,26 @@ def _spanning(rows: DataFrame, near_of: Near, prefix: Callable | None, block: in
     left = materialised(rest.groupBy("grp").agg(F.count(F.lit(1)).alias("left")), "rest")
     heads = materialised(first.where("rest is not null").select("grp", F.col("b").alias("id"), F.col("a").alias("head"), "rest").join(left, "grp"), "heads")
     large = rows.where("block is not null").join(heads, ["grp", "id"])
-    parts = F.ceil(F.col("left") * F.col("blocks") / F.col("size")).cast("long")
+    wides = F.greatest(F.ceil(F.col("size") / F.lit(WIDE * block)), F.ceil(F.col("bytes") / F.lit(block_bytes))).cast("long")
+    large = large.withColumn("wides", wides).withColumn("wide", F.shiftright(F.col("place") * F.col("wides"), 30))
+    parts = F.ceil(F.col("left") * F.col("wides") / F.col("size")).cast("long")
     large = large.withColumn("parts", parts).withColumn("part", F.when(F.col("rest"), F.pmod(F.xxhash64("id", F.lit(6)), F.col("parts"))))
     large = materialised(large.drop("rest", "left"), "large")
     if prefix is None:
         until = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        pairs = large.groupBy("grp").agg(F.max("parts").alias("parts"), F.max("blocks").alias("blocks"))
-        pairs = pairs.withColumn("part", until("parts")).withColumn("block", until("blocks")).select("grp", "part", "block")
+        pairs = large.groupBy("grp").agg(F.max("parts").alias("parts"), F.max("wides").alias("wides"))
+        pairs = pairs.withColumn("part", until("parts")).withColumn("wide", until("wides")).select("grp", "part", "wide")
     else:
-        found = materialised(with_pivots(large, "part", "block").mapInArrow(_tokens(prefix), "grp bigint, token bigint, part bigint, block bigint, most bigint, least bigint"), "tokens")
-        by_part = found.where("part is not null").groupBy("grp", "token", "part").agg(F.max("most").alias("most"), F.min("least").alias("least"))
-        by_part = materialised(by_part, "tokens")
-        by_block = found.where("block is not null").select("grp", "token", "block", F.col("most").alias("most2"), F.col("least").alias("least2"))
-        pairs = by_part.join(by_block, ["grp", "token"]).where("most >= least2 and most2 >= least").select("grp", "part", "block").distinct()
+        found = with_pivots(large, "part", "wide").mapInArrow(_tokens(prefix), "grp bigint, token bigint, part bigint, wide bigint, most bigint, least bigint")
+        found = found.groupBy("grp", "token", "part", "wide").agg(F.max("most").alias("most"), F.min("least").alias("least"))
+        found = materialised(found, "tokens")
+        by_wide = found.where("wide is not null").select("grp", "token", "wide", F.col("most").alias("most2"), F.col("least").alias("least2"))
+        pairs = found.where("part is not null").drop("wide").join(by_wide, ["grp", "token"])
+        pairs = pairs.where("most >= least2 and most2 >= least").select("grp", "part", "wide").distinct()
     pairs = materialised(pairs, "pairs")
-    cols = ["grp", "part", "block", "place", "id", "n", "data"]
-    as_left = large.where("part is not null").drop("block").join(pairs, ["grp", "part"]).select(*cols, F.lit(False).alias("right"), "head")
-    as_right = large.drop("part").join(pairs, ["grp", "block"]).select(*cols, F.lit(True).alias("right"), "head")
-    both = as_left.union(as_right).repartition("grp", "part", "block").sortWithinPartitions("grp", "part", "block", "right", "place", "id").drop("place")
+    cols = ["grp", "part", "wide", "place", "id", "n", "data"]
+    as_left = large.where("part is not null").drop("wide").join(pairs, ["grp", "part"]).select(*cols, F.lit(False).alias("right"), "head")
+    as_right = large.drop("part").join(pairs, ["grp", "wide"]).select(*cols, F.lit(True).alias("right"), "head")
+    both = as_left.union(as_right).repartition("grp", "part", "wide").sortWithinPartitions("grp", "part", "wide", "right", "place", "id").drop("place")
     second = both.mapInArrow(_across(near_of), "a bigint, b bigint")
     return links.union(keep(materialised(second.distinct(), "links")))
