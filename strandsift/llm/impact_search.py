@@ -47,13 +47,19 @@ class Index:
         self.least, self.most, self.width = least, most, width
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best vectors but ``own``: by score, then smaller id."""
+        """(ids, scores) of the k best vectors but the row of id ``own`` that is the query itself: by score, then smaller id."""
         n = len(self.ids)
-        mine = np.searchsorted(self.ids, own)
-        mine = mine if mine < n and self.ids[mine] == own else -1
+        same = np.arange(*np.searchsorted(self.ids, [own, own + 1]))
+        same = same[(self.x[same] == query).all(1)]
+        mine = int(same[0]) if len(same) else -1
         live = n - (mine >= 0)
         if live <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        largest = float(np.abs(query).astype(np.float64) @ np.maximum(np.abs(self.least), np.abs(self.most)).astype(np.float64))
+        if largest >= 2.0**62:
+            raise OverflowError("scores beyond 62 bits")
+        if largest >= 2.0**50:  # accumulators are doubles: beyond their exact range every vector is scored
+            return self.best(np.arange(n), query, mine, k)
         q = query[self.dim]
         floor = np.minimum(query * self.least, query * self.most)
         impact = np.maximum(q * self.low, q * self.high) - floor[self.dim]
@@ -83,6 +89,9 @@ class Index:
             maybe = np.flatnonzero(acc + (dims - met) * left >= sure)
             if len(maybe) <= max(4 * k, n // 64) or at >= len(order):
                 break
+        return self.best(maybe, query, mine, k)
+
+    def best(self, maybe: np.ndarray, query: np.ndarray, mine: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         maybe = maybe[maybe != mine]
         exact = self.x[maybe] @ query
         best = np.lexsort((self.ids[maybe], -exact))[:k]
@@ -97,6 +106,8 @@ def _vectors(it):
                 continue
             x = np.floor(1024.0 * np.asarray(v, np.float64))
             if np.isfinite(x).all():
+                if len(x) and np.abs(x).max() >= 2.0**62:
+                    raise OverflowError(f"a component of vector {i} is beyond 62 bits")
                 ids.append(i)
                 vs.append(x.astype("<i8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vs, pa.binary())], names=["vec_id", "v"])
@@ -115,9 +126,13 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
 
     Components count as floor(1024 * x). Vectors that are null or hold null
     or non-finite components, and rows without id, take no part; a shorter
-    vector is filled up with zeros. The query's own id is no candidate;
-    repeated rows of one id and vector count once. Ties go to the smaller
-    id. Fewer than k candidates give as many rows; an empty table none.
+    vector is filled up with zeros, an empty one is all zeros. The query's own
+    row is no candidate; other vectors of its id are. Repeated rows of one id
+    and vector count once. Different vectors of an id that is a query are
+    queries each, with ranks of their own. Ties go to the smaller id. Fewer
+    than k candidates give as many rows; an empty table none. Components and
+    scores of 62 bits and more raise OverflowError; scores beyond the doubles'
+    exact range are found by scoring every vector.
     """
     spark = tuned(vectors.sparkSession)
     narrow = vectors.select(field(id_col).cast("long").alias("vec_id"), field(vector_col).cast("array<double>").alias("v"))
@@ -128,28 +143,29 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     place = lambda salt, to: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(to)).cast("int")
     # a grid: every part of the vectors meets every set of the queries, both of bounded size
     data = rows.select("vec_id", "v", place(1, parts).alias("part"), spread("set", sets))
-    asked = rows.where(is_query(F.col("vec_id"))).select("vec_id", "v", place(2, sets).alias("set"), spread("part", parts))
+    asked = rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("asks"), F.col("v").alias("q"), F.xxhash64("v").alias("key"), place(2, sets).alias("set"), spread("part", parts))
 
     def met(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, s, i = [], [], []
+        q, w, s, i = [], [], [], []
         if left.num_rows and right.num_rows:
             x, ids = _matrix(left["v"]), left["vec_id"].to_numpy()
-            y, asks = _matrix(right["v"]), right["vec_id"].to_numpy()
+            y, asks = _matrix(right["q"]), right["asks"].to_numpy()
             d = max(x.shape[1], y.shape[1])
             x, y = (np.pad(z, ((0, 0), (0, d - z.shape[1]))) for z in (x, y))
             order = np.argsort(ids, kind="stable")
             index = Index(ids[order], np.ascontiguousarray(x[order]))
-            for a, v in zip(asks.tolist(), y):
+            for a, key, v in zip(asks.tolist(), right["key"].to_pylist(), y):
                 best, score = index.top(v, a, k)
                 q.append(np.full(len(best), a))
+                w.append(np.full(len(best), key))
                 i.append(best)
                 s.append(score)
         flat = lambda z: pa.array(np.concatenate(z).astype(np.int64) if z else np.zeros(0, np.int64))
-        return pa.table({"query_id": flat(q), "vec_id": flat(i), "score": flat(s)})
+        return pa.table({"query_id": flat(q), "key": flat(w), "vec_id": flat(i), "score": flat(s)})
 
-    found = data.groupBy("set", "part").cogroup(asked.groupBy("set", "part")).applyInArrow(met, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
-    return found.dropDuplicates().select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
+    found = data.groupBy("set", "part").cogroup(asked.groupBy("set", "part")).applyInArrow(met, "query_id bigint, key bigint, vec_id bigint, score bigint")
+    rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")).alias("rank")
+    return found.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
 
 
 def op4_impact_ordered(spark, sf_dir: str) -> DataFrame:
@@ -159,7 +175,7 @@ def op4_impact_ordered(spark, sf_dir: str) -> DataFrame:
 OP4_SQL = """
 WITH v AS (SELECT DISTINCT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
-p AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
-r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM p)
+p AS (SELECT a.vec_id AS query_id, a.e AS asked, b.vec_id, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND (a.vec_id <> b.vec_id OR a.e <> b.e)),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM p)
 SELECT * FROM r WHERE rank <= 10
 """

@@ -110,6 +110,28 @@ def test_search_is_exact(spark, part, queries):
     assert impact_search.search(df.where("vec_id in (0, 1)"), lambda c: c % 10 == 0).count() == 1
 
 
+def test_search_of_repeated_ids_and_odd_vectors(spark):
+    """Ids with different vectors, ragged and empty vectors, large components, a clashing column: against all pairs."""
+    r = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in r.integers(-9, 9, n)]) for i, n in zip(r.integers(0, 30, 80), r.integers(0, 6, 80))]
+    rows += [(5, [3.0, 4.0]), (5, [4.0, 3.0]), (7, [2.0**17, 1.0]), (10, [2.0**18, -3.0])]
+    df = spark.createDataFrame([(*x, 1.0) for x in rows], "vec_id long, embedding array<double>, score double")
+    own = sorted({(i, tuple(int(1024 * x) for x in v)) for i, v in rows})
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = []
+    for q, v in own:
+        if q % 5 == 0:
+            want += [(q, k, i, -s) for k, (s, i) in enumerate(sorted((-dot(v, u), i) for i, u in own if (i, u) != (q, v))[:4], 1)]
+    got = impact_search.search(df, lambda c: c % 5 == 0, 4, part=40, queries=7).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_scores_beyond_the_range_raise():
+    index = impact_search.Index(np.arange(2), np.array([[1 << 40], [1 << 40]]))
+    with pytest.raises(OverflowError):
+        index.top(np.array([1 << 40]), 0, 1)
+
+
 def test_search_stops_early_where_it_can():
     r = np.random.default_rng(3)
     x = np.floor(r.normal(size=(5000, 16)) * 300).astype(np.int64)
