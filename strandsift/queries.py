@@ -17,9 +17,9 @@ def _dna(text: str) -> Column:
     return F.expr(f"translate(md5({text}), '{_HEX}', '{_BASES}')")
 
 
-def _reads(spark: SparkSession, sf_dir: str, seq: str, mate: int = 1, where: str = "true", header: str | None = None) -> DataFrame:
+def _reads(spark: SparkSession, sf_dir: str, seq: str, mate: int = 1, header: str | None = None) -> DataFrame:
     """Reads of orders: seq is base, vseq (varying length) or hseq (varying tail)."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where(where)
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     base = _dna("cast(o_custkey as string)" if mate == 1 else "concat('r', cast(o_custkey % 700 as string))")
     k = F.col("o_orderkey")
     if seq == "vseq":
@@ -109,12 +109,14 @@ def _summary_sql(seq: str, pairs: bool, heads: str) -> str:
     return f"WITH RECURSIVE r AS ({_rows(seq, pairs)}), {heads} SELECT count(*) AS total, count(*) FILTER (head <> ord) AS duplicates, {unmatched} AS unmatched FROM h"
 
 
-_HEADER = "concat('@x.', cast(o_orderkey div 2 as string), ' 1')"
+def _header(side: str, every: int) -> str:
+    """Reads of two orders share a tag; one read in ``every`` has a tag that the other side lacks."""
+    return f"concat('@x.', CASE WHEN o_orderkey % {every} = 0 THEN concat('{side}', o_orderkey) ELSE cast(o_orderkey div 2 as string) END, ' 1')"
 
 
 def _unordered_result(spark, sf):
-    left = _reads(spark, sf, "base", 1, "o_orderkey % 5 <> 0", _HEADER)
-    right = _reads(spark, sf, "base", 2, "o_orderkey % 7 <> 0", _HEADER)
+    left = _reads(spark, sf, "base", 1, header=_header("a", 5))
+    right = _reads(spark, sf, "base", 2, header=_header("b", 7))
     return dedup(left, right, Options(fast=True, unordered=True))
 
 
@@ -122,9 +124,14 @@ def unordered_pe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unordered_result(spark, sf_dir).kept.select("tag", F.col("n").cast("int").alias("n"), F.col("r1.ord").alias("ord1"), F.col("r2.ord").alias("ord2"))
 
 
+def _side_sql(name: str, ord_: str, key: str, mate: int, side: str, every: int) -> str:
+    rows = f"SELECT o_orderkey AS {ord_}, {_sql('base', mate)} AS {key}, CASE WHEN o_orderkey % {every} = 0 THEN '{side}' || o_orderkey ELSE (o_orderkey // 2)::VARCHAR END AS tag FROM orders"
+    return f"{name} AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY {ord_}) AS n FROM ({rows}))"
+
+
 _MATCHED = f"""
-l AS (SELECT o_orderkey AS ord1, {_sql('base')} AS s1, (o_orderkey // 2)::VARCHAR AS tag, row_number() OVER (PARTITION BY o_orderkey // 2 ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 5 <> 0),
-g AS (SELECT o_orderkey AS ord2, {_sql('base', 2)} AS s2, (o_orderkey // 2)::VARCHAR AS tag, row_number() OVER (PARTITION BY o_orderkey // 2 ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 7 <> 0),
+{_side_sql('l', 'ord1', 's1', 1, 'a', 5)},
+{_side_sql('g', 'ord2', 's2', 2, 'b', 7)},
 m AS (SELECT l.tag, l.n, ord1, ord2, s1, s2 FROM l JOIN g ON l.tag = g.tag AND l.n = g.n),
 k AS (SELECT *, row_number() OVER (PARTITION BY s1, s2 ORDER BY tag, n) AS first FROM m)"""
 
@@ -157,16 +164,33 @@ def hamming_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prefix_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loose comparison of each read with the one of the next order of its customer, single and as a pair with itself reversed."""
-    left, right = _reads(spark, sf_dir, "vseq"), _reads(spark, sf_dir, "vseq", 2)
-    both = left.select("ord", F.col("seq").alias("a")).join(right.select("ord", F.col("seq").alias("b")), "ord")
-    a, short, b = F.col("a"), F.col("a").substr(1, 20), F.col("b")
-    return both.select("ord", prefix_compatible(a, short).alias("own"), prefix_compatible(a, b).alias("mate"), prefix_compatible_pair(a, b, short, b).alias("pair"), prefix_compatible_pair(a, b.substr(1, 9), short, b).alias("crossed"))
+    """Loose comparison of each read with another of its customer's length and letters, cut or changed by the order's number, single and as pairs."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    a, b, c, d = (F.expr(x) for x in _PREFIX_READS)
+    return o.select(
+        F.col("o_orderkey").alias("ord"), prefix_compatible(a, b).alias("own"), prefix_compatible(c, d).alias("mate"), prefix_compatible_pair(a, c, b, d).alias("pair"), prefix_compatible_pair(a, d, b, c).alias("crossed")
+    )
+
+
+def _prefix_reads(base: str, key: str) -> list[str]:
+    part = lambda k, m: f"substr({base}, 1, cast(20 + ({key} + {k}) % {m} as int))"
+    odd = lambda x, m: f"CASE WHEN {key} % {m} = 0 THEN concat('T', {x}) ELSE {x} END"
+    return [part(0, 9), odd(part(3, 7), 3), part(1, 5), odd(part(2, 11), 4)]
+
+
+_PREFIX_READS = _prefix_reads(f"translate(md5(cast(o_custkey as string)), '{_HEX}', '{_BASES}')", "o_orderkey")
+
+
+def _prefix_sql() -> str:
+    a, b, c, d = _prefix_reads(_sql("base"), "o_orderkey")
+    both = "(starts_with({0}, {1}) OR starts_with({1}, {0}))"
+    # of a pair, both reads of the first side extend or equal those of the second, or both of the second are longer
+    pair = "((starts_with({0}, {2}) AND starts_with({1}, {3})) OR (starts_with({2}, {0}) AND starts_with({3}, {1}) AND length({2}) > length({0}) AND length({3}) > length({1})))"
+    rows = f"SELECT o_orderkey AS ord, {a} AS a, {b} AS b, {c} AS c, {d} AS d FROM orders"
+    return f"SELECT ord, {both.format('a', 'b')} AS own, {both.format('c', 'd')} AS mate, {pair.format('a', 'c', 'b', 'd')} AS pair, {pair.format('a', 'd', 'b', 'c')} AS crossed FROM ({rows})"
 
 
-_PREFIX_SQL = f"""
-WITH r AS (SELECT o_orderkey AS ord, {_sql('vseq')} AS a, {_sql('vseq', 2)} AS b FROM orders)
-SELECT ord, true AS own, starts_with(a, b) OR starts_with(b, a) AS mate, true AS pair, false AS crossed FROM r"""
+_PREFIX_SQL = _prefix_sql()
 
 
 def dedup_documents_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
