@@ -46,7 +46,7 @@ def rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", w
     per = materialised(per, "sources")  # one row a source; the corpus is read once for it
     all_chars, all_weight = per.agg(F.sum("n_chars"), F.sum("weight")).first()
     per = per.withColumn("all_chars", F.lit(all_chars or 0)).withColumn("target", F.col("weight") / F.lit(all_weight) if all_weight else F.lit(0.0))
-    # a source without any text cannot meet a share of characters: its documents stay once
+    # a source without any text cannot meet a share of characters: its documents are drawn once each
     per = per.withColumn("rate", F.when(F.col("n_chars") > 0, F.col("target") * F.col("all_chars") / F.col("n_chars")).otherwise(1.0))
     # log-probabilities by their recurrence, then their running sum
     per = per.withColumn(
@@ -61,7 +61,7 @@ def rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", w
                     'sum', s.sum + exp(s.logp)),
                 s -> s.out)"""
         ),
-    ).withColumn("cdf", F.when(F.col("rate") > 0, F.col("cdf")).otherwise(F.array(F.lit(1.0))))
+    ).withColumn("cdf", F.when(F.col("n_chars") == 0, F.array(F.lit(0.0), F.lit(1.0))).when(F.col("rate") > 0, F.col("cdf")).otherwise(F.array(F.lit(1.0))))
     return per.select("source", "n_docs", "n_chars", "target", "rate", "cdf")
 
 
@@ -73,7 +73,8 @@ def replicate(
     All columns of the input are kept (one named copy or shuffle_key is
     replaced). Null sources are one source of their own (''), null texts are
     empty; rows without id take no part; repeated rows share one draw and
-    are repeated each; an empty table gives an empty one.
+    are repeated each; documents of a source without any text stay once; an
+    empty table gives an empty one.
     """
     docs = docs.where(field(id_col).isNotNull())
     table = rates(docs, source_col, text_col, weights, exponent).select(F.col("source").alias("__mix_source"), F.col("cdf").alias("__mix_cdf"))
@@ -97,8 +98,8 @@ OP10_SQL = f"""
 WITH docs AS (SELECT *, coalesce(source, '') AS src FROM documents WHERE doc_id IS NOT NULL),
 per AS (SELECT src, sum(coalesce(length(text), 0))::DOUBLE AS chars FROM docs GROUP BY src),
 tgt AS (SELECT src, chars, pow(chars, {EXPONENT}) / sum(pow(chars, {EXPONENT})) OVER () AS target, sum(chars) OVER () AS all_chars FROM per),
-rate AS (SELECT src, CASE WHEN chars > 0 THEN target * all_chars / chars ELSE 1.0 END AS r FROM tgt),
-pmf AS (SELECT src, k, exp(-r + k * ln(r) - lgamma(k + 1)) AS p
+rate AS (SELECT src, chars, CASE WHEN chars > 0 THEN target * all_chars / chars ELSE 1.0 END AS r FROM tgt),
+pmf AS (SELECT src, k, CASE WHEN chars > 0 THEN exp(-r + k * ln(r) - lgamma(k + 1)) ELSE (k = 1)::INTEGER END AS p
         FROM rate, LATERAL (SELECT unnest(generate_series(0, ceil(r + 12 * sqrt(r) + 30)::BIGINT)) AS k) WHERE r > 0),
 cdf AS (SELECT src, k, sum(p) OVER (PARTITION BY src ORDER BY k) AS c FROM pmf),
 drawn AS (SELECT d.doc_id AS id, d.src AS s, ('0x' || substr(md5('{SEED}|' || d.doc_id), 1, 13))::BIGINT / {2**52}.0 AS u FROM (SELECT DISTINCT doc_id, src FROM docs) d),

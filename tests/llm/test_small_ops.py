@@ -294,6 +294,9 @@ def test_mixing_follows_its_draws(spark, make_docs, rng, odd_docs):
             p *= rate / n
             total += p
         assert sorted(got.get(k, [])) == list(range(1, n + 1))
+    empty = docs.withColumn("text", F.when(F.col("source") != "s2", F.col("text")))
+    once = [r.copy for r in mixing.replicate(empty).where("source = 's2'").collect()]
+    assert once == [1] * docs.where("source = 's2'").count()
     out = mixing.replicate(odd_docs)
     assert out.columns == [*odd_docs.columns, "copy", "shuffle_key"]
     assert None not in {r.doc_id for r in out.collect()}
