@@ -23,13 +23,13 @@ from strandsift.operators.ordered import with_previous
 
 def _fold(keys: list[str], distance: int):
     def near(a: np.ndarray, b: np.ndarray) -> bool:
-        return len(a) == len(b) and np.count_nonzero(a != b) <= distance
+        return a is not None and b is not None and len(a) == len(b) and np.count_nonzero(a != b) <= distance
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, head, head_ord = None, None, None
         for b in it:
             get = lambda name: b.column(b.schema.get_field_index(name))  # noqa: E731,B023
-            seqs = [[np.frombuffer(x, np.uint8) for x in get(k).cast(pa.binary()).to_pylist()] for k in keys]
+            seqs = [[None if x is None else np.frombuffer(x, np.uint8) for x in get(k).cast(pa.binary()).to_pylist()] for k in keys]
             heads = []
             for seg, o, *row in zip(get("segment").to_pylist(), get("ord").to_pylist(), *seqs):
                 if seg != segment or not all(map(near, head, row)):

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,36 +17,55 @@ from strandsift.operators.storage import materialised
 from strandsift.shipping import ship
 
 
-def _gap(a: bytes, b: bytes) -> int | None:
-    if len(a) != len(b):
-        return None
-    return int(np.count_nonzero(np.frombuffer(a, np.uint8) != np.frombuffer(b, np.uint8)))
+#: Bytes of sequences that are compared at once, besides the row that begins the stretch.
+_STRETCH = 4 << 20
+
+
+def _gaps(seqs: pa.BinaryArray, prev: pa.BinaryArray) -> pa.Array:
+    """Bytes in which each sequence differs from the one in ``prev``; null for other lengths and nulls."""
+    n = len(seqs)
+    size, before = (pc.fill_null(pc.binary_length(x), -1).to_numpy(zero_copy_only=False).astype(np.int64) for x in (seqs, prev))
+    alike = (size == before) & (size >= 0)
+    out = np.zeros(n, np.int32)
+    rows = np.flatnonzero(alike)
+    ends = np.cumsum(size[rows])
+    start = 0
+    while start < len(rows):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + _STRETCH, "right")))
+        take = pa.array(rows[start:stop])
+        # rows of equal lengths on both sides: their bytes lie at the same places
+        a, b = (np.frombuffer(b"".join(x.take(take).to_pylist()), np.uint8) for x in (seqs, prev))
+        total = np.concatenate(([0], np.cumsum(a != b)))
+        cuts = np.concatenate(([0], ends[start:stop] - base))
+        out[rows[start:stop]] = np.diff(total[cuts])
+        start = stop
+    return pa.array(out, pa.int32(), mask=~alike)
 
 
 def _walk(keys: list[str]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, pos, last = TaskContext.get().partitionId(), 0, None
+        part, pos = TaskContext.get().partitionId(), 0
+        last = [pa.nulls(1, pa.binary())] * len(keys)
         for b in it:
             n = b.num_rows
-            cols = [b.column(b.schema.get_field_index(k)).cast(pa.binary()).to_pylist() for k in keys]
-            rows = list(zip(*cols))
-            before = [last] + rows[:-1]
+            if not n:
+                continue
+            cols = [b.column(b.schema.get_field_index(k)).cast(pa.binary()) for k in keys]
             out = list(b.columns)
             out += [pa.array(np.full(n, part, np.int64)), pa.array(np.arange(pos, pos + n, dtype=np.int64))]
-            for k in range(len(keys)):
-                prev = [None if x is None else x[k] for x in before]
-                out.append(pa.array(prev, pa.binary()).cast(pa.string()))
-                out.append(pa.array([None if p is None else _gap(p, r[k]) for p, r in zip(prev, rows)], pa.int32()))
+            for col, end in zip(cols, last):
+                prev = pa.concat_arrays([end, col.slice(0, n - 1)])
+                out += [prev.cast(pa.string()), _gaps(col, prev)]
             names = b.schema.names + ["part", "pos"] + [f"{x}_{k}" for k in keys for x in ("prev", "gap")]
             yield pa.RecordBatch.from_arrays(out, names=names)
-            if n:
-                last, pos = rows[-1], pos + n
+            last, pos = [pa.array(c.slice(n - 1, 1).to_pylist(), pa.binary()) for c in cols], pos + n
 
     return run
 
 
 def with_previous(units: DataFrame, keys: list[str]) -> DataFrame:
-    """units with part, pos, prev_<key> and gap_<key> (Hamming distance to it, null for other lengths), by ascending keys.
+    """units with part, pos, prev_<key> and gap_<key> (Hamming distance to it, null for other lengths and nulls), by ascending keys.
 
     Rows are dealt to ranges and sorted; inside a range the predecessor is
     the row before. The first row of a range gets the last row of the ranges

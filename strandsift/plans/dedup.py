@@ -1,4 +1,9 @@
-"""Deduplication by options: every mode annotates all reads, results are projections of that."""
+"""Deduplication by options: every mode annotates all reads, results are projections of that.
+
+ord identifies a read (pair) and must not repeat. A null sequence equals other
+null ones and is near or a prefix of nothing else: reads that have it are
+duplicates of the first of them (pairs: with equal mates).
+"""
 
 from __future__ import annotations
 
@@ -19,13 +24,14 @@ COMPARE = ("tight", "loose", "tail-hamming")
 
 @dataclass(frozen=True)
 class Options:
-    """How to compare. fast excludes compare and distance; unordered needs fast and pairs."""
+    """How to compare. fast excludes compare and distance; unordered needs fast and pairs; strict makes mates of unequal number an error."""
 
     compare: str = "tight"
     distance: int = 2
     fast: bool = False
     unordered: bool = False
     validate: bool = True
+    strict: bool = False
 
     def __post_init__(self) -> None:
         if self.compare not in COMPARE:
@@ -49,8 +55,10 @@ def heads(rows: DataFrame, options: Options) -> DataFrame:
 def annotated(rows: DataFrame, options: Options) -> DataFrame:
     """rows with head_ord and is_head."""
     keys = ["s1", "s2"] if "s2" in rows.columns else ["s1"]
-    verdict = heads(rows, options).select(*keys, F.col("head_ord").cast("long"))
-    return rows.join(verdict, keys).withColumn("is_head", F.col("ord") == F.col("head_ord"))
+    verdict = heads(rows, options).select(*[F.col(k).alias("__" + k) for k in keys], F.col("head_ord").cast("long"))
+    same = [F.col(k).eqNullSafe(F.col("__" + k)) for k in keys]
+    rows = rows.join(verdict, same).drop(*["__" + k for k in keys])
+    return rows.withColumn("is_head", F.col("ord") == F.col("head_ord"))
 
 
 @dataclass(frozen=True)
@@ -113,6 +121,8 @@ def dedup(left: DataFrame, right: DataFrame | None = None, options: Options | No
             raise ValueError("unordered needs two inputs")
         rows = left.select("ord", F.struct(*left.columns).alias("r1"), F.col("seq").alias("s1"))
         return Result(rows, o, 1, left)
+    if o.strict and left.count() != right.count():
+        raise ValueError("the two inputs differ in their number of reads")
     pairs = matched(left, right) if o.unordered else zipped(left, right)
     rows = pairs.withColumn("s1", F.col("r1.seq")).withColumn("s2", F.col("r2.seq"))
     if o.unordered:

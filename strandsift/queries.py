@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from strandsift.functions.sequences import hamming, is_valid, prefix_compatible, prefix_compatible_pair
 from strandsift.functions.tags import read_tag
 from strandsift.operators.exact import first_of_each
+from strandsift.operators.storage import delete_at_end, forget, materialised, new_path
 from strandsift.plans.dedup import Options, dedup
+from strandsift.sources.reads import read_reads
+from strandsift.sources.sink import record_text, write_ordered
 
 _HEX, _BASES = "0123456789abcdef", "ACGT" * 4
 
@@ -97,7 +100,55 @@ def _clusters_sql(seq: str, pairs: bool, heads: str) -> str:
     return f"WITH RECURSIVE r AS ({_rows(seq, pairs)}), {heads} {one(1)}" + (f" UNION ALL {one(2)}" if pairs else "")
 
 
-_TIGHT_HEADS = "h AS (SELECT *, min(ord) OVER (PARTITION BY s1) AS head FROM r)"
+def _tight_heads(pairs: bool) -> str:
+    return f"h AS (SELECT *, min(ord) OVER (PARTITION BY {'s1, s2' if pairs else 's1'}) AS head FROM r)"
+
+
+def _file(rows: DataFrame, read: str, fmt: str, ending: str, *order: str) -> DataFrame:
+    """The reads of a column, in ``order``, as the file that they are written to holds them."""
+    spark = rows.sparkSession
+    path = new_path(spark, "file") + ending
+    write_ordered(rows, record_text(read, fmt), path, *order)
+    delete_at_end(spark, path)
+    return read_reads(spark, path, fmt)
+
+
+def _scan(seq: str, fmt: str, ending: str):
+    """All orders' reads, written to one file by descending order number and read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        reads = _reads(spark, sf_dir, seq, header=f"concat('{'@' if fmt == 'fastq' else '>'}', o_orderkey, ' x')")
+        back = _file(reads.select((-F.col("ord")).alias("later"), F.struct(*reads.columns).alias("r1")), "r1", fmt, ending, "later")
+        return back.select("ord", "id", "seq", *(["sep", "qual"] if fmt == "fastq" else []))
+
+    return run
+
+
+def _scan_sql(seq: str, fmt: str) -> str:
+    rest = f", '+' AS sep, {_sql(seq)} AS qual" if fmt == "fastq" else ""
+    return f"SELECT row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS ord, '{'@' if fmt == 'fastq' else '>'}' || o_orderkey || ' x' AS id, {_sql(seq)} AS seq{rest} FROM orders"
+
+
+def _written(seq: str, pairs: bool, **options):
+    """The surviving reads as the output files hold them, with their place."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        result = _result(spark, sf_dir, seq, pairs, **options)
+        kept = materialised(result.kept, "kept")
+        files = [_file(kept, f"r{m}", "fastq", ".fastq", *result.order) for m in range(1, result.mates + 1)]
+        forget(kept)
+        out = None
+        for m, f in enumerate(files, 1):
+            f = f.select(F.col("ord").alias("place"), F.col("id").alias(f"id{m}"), F.col("seq").alias(f"s{m}"))
+            out = f if out is None else out.join(f, "place")
+        return out
+
+    return run
+
+
+def _written_sql(seq: str, pairs: bool, heads: str, order: str) -> str:
+    cols = "'@' || ord AS id1, s1" + (", '@' || ord AS id2, s2" if pairs else "")
+    return f"WITH RECURSIVE r AS ({_rows(seq, pairs)}), {heads} SELECT row_number() OVER (ORDER BY {order}) - 1 AS place, {cols} FROM h WHERE head = ord"
 
 
 def _summary(seq: str, pairs: bool, **options):
@@ -223,17 +274,25 @@ _ALL = {
     "hamming_se_d1": (_kept("hseq", False, compare="tail-hamming", distance=1), _heads_sql("hseq", False, _hamming_heads(False, 1))),
     "hamming_se_d2": (_kept("hseq", False, compare="tail-hamming", distance=2), _heads_sql("hseq", False, _hamming_heads(False, 2))),
     "hamming_pe_d1": (_kept("hseq", True, compare="tail-hamming", distance=1), _heads_sql("hseq", True, _hamming_heads(True, 1))),
-    "clusters_tight": (_clusters("base", False), _clusters_sql("base", False, _TIGHT_HEADS)),
+    "clusters_tight": (_clusters("base", False), _clusters_sql("base", False, _tight_heads(False))),
+    "clusters_tight_pe": (_clusters("base", True), _clusters_sql("base", True, _tight_heads(True))),
     "clusters_loose": (_clusters("vseq", False, compare="loose"), _clusters_sql("vseq", False, _loose_heads(False))),
     "clusters_loose_pe": (_clusters("vseq", True, compare="loose"), _clusters_sql("vseq", True, _loose_heads(True))),
     "clusters_hamming": (_clusters("hseq", False, compare="tail-hamming", distance=1), _clusters_sql("hseq", False, _hamming_heads(False, 1))),
+    "clusters_hamming_pe": (_clusters("hseq", True, compare="tail-hamming", distance=1), _clusters_sql("hseq", True, _hamming_heads(True, 1))),
+    "scan_fastq": (_scan("vseq", "fastq", ".fastq"), _scan_sql("vseq", "fastq")),
+    "scan_fastq_gzip": (_scan("vseq", "fastq", ".fastq.gz"), _scan_sql("vseq", "fastq")),
+    "scan_fasta": (_scan("base", "fasta", ".fa"), _scan_sql("base", "fasta")),
+    "written_fast_se": (_written("base", False, fast=True), _written_sql("base", False, _tight_heads(False), "ord")),
+    "written_tight_se": (_written("vseq", False), _written_sql("vseq", False, _tight_heads(False), "s1, ord")),
+    "written_loose_pe": (_written("vseq", True, compare="loose"), _written_sql("vseq", True, _loose_heads(True), "s1, s2, ord")),
     "unordered_pe": (unordered_pe, f"WITH {_MATCHED} SELECT tag, n::INTEGER AS n, ord1, ord2 FROM k WHERE first = 1"),
     "zip_pairs": (zip_pairs, _rows("base", True)),
     "tag_extract": (tag_extract, _TAG_SQL),
     "alphabet_check": (alphabet_check, f"SELECT o_orderkey AS ord, regexp_full_match({_ODD.format(_sql('base'))}, '[ACGTN]*') AS valid FROM orders"),
     "hamming_distance": (hamming_distance, f"SELECT o_orderkey AS ord, hamming({_sql('base')}, {_sql('base', 2)})::INTEGER AS distance FROM orders"),
     "prefix_test": (prefix_test, _PREFIX_SQL),
-    "summary_tight_se": (_summary("base", False), _summary_sql("base", False, _TIGHT_HEADS)),
+    "summary_tight_se": (_summary("base", False), _summary_sql("base", False, _tight_heads(False))),
     "summary_loose_pe": (_summary("vseq", True, compare="loose"), _summary_sql("vseq", True, _loose_heads(True))),
     "summary_hamming_se": (_summary("hseq", False, compare="tail-hamming", distance=1), _summary_sql("hseq", False, _hamming_heads(False, 1))),
     "summary_unordered_pe": (
