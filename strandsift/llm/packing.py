@@ -14,7 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandsift.llm.common import field, materialised
+from strandsift.llm import token_files
+from strandsift.llm.common import field, materialised, texts, tuned
 
 BUCKETS = 12
 BUDGET = 16384
@@ -66,22 +67,31 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     return out[::-1]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, length_col: str | None = None) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    buckets: int = BUCKETS,
+    budget: int = BUDGET,
+    length_col: str | None = None,
+    vocabulary: str | None = None,
+    end_id: int = token_files.END_ID,
+) -> DataFrame:
     """(doc_id, n_tokens, bucket, boundary, batch, slot) of every document that has an id.
 
-    n_tokens is the number of words (runs other than white space), or
-    ``length_col``. Empty and null texts have length 0 and batches like any
-    other. Repeated rows are packed each; ties are ordered by hash, then
-    doc_id, and among equal ids by length. bucket counts from 0, batch and slot
-    from 0 in each bucket. An empty table gives an empty one.
+    n_tokens is the number of ids that token_files writes for the text, its
+    end id included, so an empty or null text has length 1; or it is
+    ``length_col``, a null of which is 0. Very long texts count whole.
+    Repeated rows are packed each; ties are ordered by hash, then doc_id, and
+    among equal ids by length. bucket counts from 0, batch and slot from 0 in
+    each bucket. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
+    spark = tuned(docs.sparkSession)
     if length_col:
-        n = F.coalesce(field(length_col).cast("long"), F.lit(0).cast("long"))
+        rows = docs.where(field(id_col).isNotNull()).select(field(id_col).cast("long").alias("doc_id"), F.coalesce(field(length_col).cast("long"), F.lit(0).cast("long")).alias("n_tokens"))
     else:
-        # words: starts of runs, counted without building the words
-        n = F.expr("length(regexp_replace(regexp_replace(coalesce(cast({0} as string), ''), '[^ \\\\t-\\\\r]+', 'w'), '[ \\\\t-\\\\r]+', ''))".format("`" + text_col.replace("`", "``") + "`")).cast("long")
-    rows = docs.where(field(id_col).isNotNull()).select(field(id_col).cast("long").alias("doc_id"), n.alias("n_tokens"))
+        ids = token_files.tokens(texts(docs, id_col, text_col), vocabulary or token_files.vocabulary_path(), end_id)
+        rows = ids.select("doc_id", (F.octet_length("ids") / F.when(F.col("wide"), 4).otherwise(2)).cast("long").alias("n_tokens"))
     rows = materialised(rows, "lengths")  # two numbers a document; texts are read once
     hist = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toPandas()  # one row a distinct length
     if not len(hist):

@@ -259,11 +259,14 @@ def test_boundaries_are_optimal(rng, n, buckets):
 
 
 def test_packing(spark, make_docs, rng, odd_docs):
-    docs = make_docs([words(rng, rng.randint(0, 90)) for _ in range(300)] + [None, " \n x\ty\r\nz  "])
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_files.vocabulary_path())
+    docs = make_docs([words(rng, rng.randint(0, 90)) for _ in range(300)] + [None, " \n x\ty\r\nz  ", "日本語 isn't 😀"])
     rows = packing.pack(docs, buckets=4, budget=256).collect()
-    assert sorted(r.doc_id for r in rows) == list(range(302))
+    assert sorted(r.doc_id for r in rows) == list(range(303))
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
-    assert all(r.n_tokens == len(texts[r.doc_id].split()) <= r.boundary for r in rows)
+    assert all(r.n_tokens == len(tok.encode(texts[r.doc_id], add_special_tokens=False).ids) + 1 <= r.boundary for r in rows)
     seen = {}
     for r in rows:
         seen.setdefault((r.bucket, r.batch), []).append(r.slot)
@@ -272,7 +275,10 @@ def test_packing(spark, make_docs, rng, odd_docs):
         per = max(1, 256 // max(1, end))
         assert sorted(slots) == list(range(len(slots))) and len(slots) <= per
         assert len(slots) == per or batch == max(b for k, b in seen if k == bucket)
+    own = {r.doc_id: r.n_tokens for r in packing.pack(docs, length_col="n_chars").collect()}
+    assert own == {k: len(t) for k, t in texts.items()}
     assert len(packing.pack(odd_docs).collect()) == 6
+    assert len(packing.pack(odd_docs, length_col="n_chars").collect()) == 6
     assert packing.pack(odd_docs.limit(0)).count() == 0
 
 
