@@ -2,6 +2,11 @@
 
 Every stage takes the table that the one before has written and works on all
 of it. All but the last return the columns of documents.
+
+In every stage a null text is an empty one, texts of any length count whole,
+further columns of any name are carried along (but by the last), and an empty
+table gives an empty one. Rows without id pass the first three stages as they
+are and leave at the fourth, which cannot draw for them.
 """
 
 from __future__ import annotations
