@@ -304,6 +304,73 @@ def test_quality_on_held_out_rows(spark, make_docs):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def plain_cut(rows, at, thresholds, least):
+    """(gain, threshold) of the best split of ``rows`` = [(values, slope, curvature)] by the value at ``at``, by trying each."""
+    score = lambda some: sum(r[1] for r in some) ** 2 / (sum(r[2] for r in some) + 1)
+    found = (0.0, None)
+    for t in thresholds:
+        low, high = [r for r in rows if r[0][at] < t], [r for r in rows if r[0][at] >= t]
+        if sum(r[2] for r in low) < least or sum(r[2] for r in high) < least:
+            continue
+        gain = score(low) + score(high) - score(rows)
+        if gain > found[0] + 1e-12:
+            found = (gain, t)
+    return found
+
+
+def plain_tree(rows, order, thresholds, least):
+    """(gain, value of a row) of a tree that splits by order[0], then by order[1]."""
+    gain, t = plain_cut(rows, order[0], thresholds[order[0]], least)
+    leaves = []
+    for low in (True, False) if t is not None else (None,):
+        half = [r for r in rows if low is None or (r[0][order[0]] < t) == low]
+        cuts = [u for u in thresholds[order[1]] if low is None or order[0] != order[1] or (u < t if low else u > t)]
+        more, m = plain_cut(half, order[1], cuts, least)
+        gain += more
+        for under in (True, False) if m is not None else (None,):
+            leaf = [r for r in half if under is None or (r[0][order[1]] < m) == under]
+            leaves.append(((t, low, m, under), -sum(r[1] for r in leaf) / (sum(r[2] for r in leaf) + 1)))
+
+    def value(v):
+        for (t, low, m, under), w in leaves:
+            if (low is None or (v[order[0]] < t) == low) and (under is None or (v[order[1]] < m) == under):
+                return w
+
+    return gain, value
+
+
+def test_boosting_against_a_plain_version(monkeypatch):
+    for name, n in (("ROUNDS", 3), ("PAIR_ROUNDS", 3), ("PAIRS", 1), ("BINS", 8)):
+        monkeypatch.setattr(quality, name, n)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 2] > 0.3) | (x[:, 1] > 1)).astype(float)
+    thresholds = [[float(np.quantile(x[:, j], q / 8)) for q in range(1, 8)] for j in range(3)]
+    rate = (y.sum() + 1) / (len(y) + 2)
+    f = [float(np.log(rate / (1 - rate)))] * len(y)
+
+    def rows():
+        p = [1 / (1 + np.exp(-v)) for v in f]
+        return [(tuple(v), a - b, a * (1 - a)) for v, a, b in zip(x.tolist(), p, y.tolist())]
+
+    def add(value):
+        for i, v in enumerate(x.tolist()):
+            f[i] += quality.RATE * value(v)
+
+    for _ in range(3):
+        for j in range(3):
+            add(plain_tree(rows(), (j, j), thresholds, 2.0)[1])
+    now = rows()
+    better = lambda i, j, some: max((plain_tree(some, o, thresholds, 1.0) for o in ((i, j), (j, i))), key=lambda r: r[0])
+    pair = max(itertools.combinations(range(3), 2), key=lambda p: better(*p, now)[0])
+    for _ in range(3):
+        add(better(*pair, rows())[1])
+    model = quality.fit(x, y)
+    assert model.pairs == [pair] == [(0, 2)]
+    assert model.margin(x) == pytest.approx(f, abs=1e-9)
+    assert np.ptp(f) > 0.5
+
+
 def test_interactions_are_learnt():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 4))
