@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandsift.llm.common import field, forget, materialised, scratch, sliced, texts, tuned
+from strandsift.llm.common import field, forget, materialised, scratch, sliced, texts, tidied, tuned
 from strandsift.llm.components import places, spanning_links
 
 #: Tokens of a signature, independent trees, positions that a node picks.
@@ -211,7 +211,7 @@ def _loose_links(reps: DataFrame, percent: int) -> DataFrame:
     nodes = reps.select(F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)])).alias("grp"), F.lit(-1).cast("long").alias("size"), "id", "sig")
     found = []
     while True:
-        keys = materialised(nodes.mapInArrow(_children(level), "grp bigint, up bigint, id bigint"), "nodes")
+        keys = materialised(nodes.mapInArrow(tidied(_children(level)), "grp bigint, up bigint, id bigint"), "nodes")
         # a table of its own: a join of two plain exchanges is one whose hot keys can be split
         sizes = materialised(keys.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.max("up").alias("up")).where("size > 1"), "sizes")
         met = keys.select("grp", "id").join(sizes, "grp")
@@ -245,7 +245,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
 
 
 def _groups(all_texts: DataFrame, width: int, percent: int, keep) -> DataFrame:
-    signed = materialised(all_texts.mapInArrow(_signed(width), "doc_id bigint, n bigint, h1 bigint, h2 bigint, sig binary"), "signed")
+    signed = materialised(all_texts.mapInArrow(tidied(_signed(width)), "doc_id bigint, n bigint, h1 bigint, h2 bigint, sig binary"), "signed")
     # documents of one set are one node; minima are formed before the shuffle, whatever the copies
     same = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id())
     same = materialised(same, "same")
@@ -259,7 +259,7 @@ def _groups(all_texts: DataFrame, width: int, percent: int, keep) -> DataFrame:
     members = materialised(members.select(F.col("rep").alias("doc_id"), F.col("up").alias("grp"), "size", "bytes", "node", "h1", "h2"), "members")
     # by sorting at any size, so that the disk taken grows with the texts from the start
     chosen = all_texts.join(members.hint("merge"), "doc_id").select("doc_id", "text", "grp", "size", "bytes", "node", "h1", "h2")
-    sets = materialised(chosen.mapInArrow(_sets(width), "grp bigint, id bigint, n bigint, data binary, size bigint, bytes bigint"), "sets")
+    sets = materialised(chosen.mapInArrow(tidied(_sets(width)), "grp bigint, id bigint, n bigint, data binary, size bigint, bytes bigint"), "sets")
     links = spanning_links(sets, _by_set(percent), _by_prefix(percent))
     # the nodes of one id
     several = placed.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")

@@ -14,6 +14,7 @@ Rules that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -93,6 +94,26 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: allocators keep it for the process, and a Python worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, so that freed memory does not stay with the worker: over a pipeline's stages it would add up."""
+
+    def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what the task before held to its very end
+        yield from run(it)
+        give_back()
+
+    return whole
+
+
 def sliced(batches: Iterator[pa.RecordBatch], text_col: str = "text", max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose text column takes about ``max_bytes`` at most (one row at least)."""
     for b in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandsift.llm.common import forget, materialised, scratch
+from strandsift.llm.common import forget, materialised, scratch, tidied
 
 #: Rows of a block, and bytes of its data, about; two blocks are compared in memory at a time.
 BLOCK, BLOCK_BYTES = 64, 16 << 20
@@ -258,7 +258,7 @@ def _spanning(rows: DataFrame, near_of: Near, prefix: Callable | None, block: in
         return df.repartition("grp", "sub").sortWithinPartitions("grp", "sub", "place", "id").drop("place")
 
     # the pivots' places come first, as blocks follow the places
-    first = keep(materialised(with_pivots(rows).mapInArrow(_hubs(near_of), "grp bigint, a bigint, b bigint, rest boolean"), "links"))
+    first = keep(materialised(with_pivots(rows).mapInArrow(tidied(_hubs(near_of)), "grp bigint, a bigint, b bigint, rest boolean"), "links"))
     links = first.where("a <> b").select("a", "b")
     rest = first.where("rest").select("grp", F.col("b").alias("id"))
     if rest.isEmpty():
@@ -277,7 +277,7 @@ def _spanning(rows: DataFrame, near_of: Near, prefix: Callable | None, block: in
         pairs = large.groupBy("grp").agg(F.max("parts").alias("parts"), F.max("wides").alias("wides"))
         pairs = pairs.withColumn("part", until("parts")).withColumn("wide", until("wides")).select("grp", "part", "wide")
     else:
-        found = with_pivots(large, "part", "wide").mapInArrow(_tokens(prefix), "grp bigint, token bigint, part bigint, wide bigint, most bigint, least bigint")
+        found = with_pivots(large, "part", "wide").mapInArrow(tidied(_tokens(prefix)), "grp bigint, token bigint, part bigint, wide bigint, most bigint, least bigint")
         found = found.groupBy("grp", "token", "part", "wide").agg(F.max("most").alias("most"), F.min("least").alias("least"))
         found = materialised(found, "tokens")
         by_wide = found.where("wide is not null").select("grp", "token", "wide", F.col("most").alias("most2"), F.col("least").alias("least2"))
@@ -288,5 +288,5 @@ def _spanning(rows: DataFrame, near_of: Near, prefix: Callable | None, block: in
     as_left = large.where("part is not null").drop("wide").join(pairs, ["grp", "part"]).select(*cols, F.lit(False).alias("right"), "head")
     as_right = large.drop("part").join(pairs, ["grp", "wide"]).select(*cols, F.lit(True).alias("right"), "head")
     both = as_left.union(as_right).repartition("grp", "part", "wide").sortWithinPartitions("grp", "part", "wide", "right", "place", "id").drop("place")
-    second = both.mapInArrow(_across(near_of), "a bigint, b bigint")
+    second = both.mapInArrow(tidied(_across(near_of)), "a bigint, b bigint")
     return links.union(keep(materialised(second.distinct(), "links")))

@@ -80,7 +80,7 @@ def pack(
     """(doc_id, n_tokens, bucket, boundary, batch, slot) of every document that has an id.
 
     n_tokens is the number of ids that token_files writes for the text, its
-    end id included, so an empty or null text has length 1; or it is
+    end id included (whichever ``end_id`` is), so an empty or null text has length 1; or it is
     ``length_col``, a null of which is 0. Very long texts count whole.
     Repeated rows are packed each; ties are ordered by hash, then doc_id, and
     among equal ids by length. bucket counts from 0, batch and slot from 0 in
@@ -90,8 +90,7 @@ def pack(
     if length_col:
         rows = docs.where(field(id_col).isNotNull()).select(field(id_col).cast("long").alias("doc_id"), F.coalesce(field(length_col).cast("long"), F.lit(0).cast("long")).alias("n_tokens"))
     else:
-        ids = token_files.tokens(texts(docs, id_col, text_col), vocabulary or token_files.vocabulary_path(), end_id)
-        rows = ids.select("doc_id", (F.octet_length("ids") / F.when(F.col("wide"), 4).otherwise(2)).cast("long").alias("n_tokens"))
+        rows = token_files.lengths(texts(docs, id_col, text_col), vocabulary or token_files.vocabulary_path())
     rows = materialised(rows, "lengths")  # two numbers a document; texts are read once
     hist = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toPandas()  # one row a distinct length
     if not len(hist):

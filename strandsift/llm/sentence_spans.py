@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandsift.llm.common import forget, materialised, plain_names, sliced, texts, tuned
+from strandsift.llm.common import forget, materialised, plain_names, sliced, texts, tidied, tuned
 
 SPAN, MIN_WORDS = 2, 20
 #: Sentences of up to LONG words are never divided; parts of longer ones have GAP words at most.
@@ -167,7 +167,7 @@ def without(cutter: Cutter, text: str, seen: set[tuple[int, int]]) -> str:
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, seen array<struct<h, g>>) of (doc_id, text): the runs that a document shares with one of a smaller id, by 96 bits of hash."""
     tuned(docs.sparkSession)
-    spans = materialised(docs.mapInArrow(_hashed, "h bigint, g int, doc_id bigint"), "spans")
+    spans = materialised(docs.mapInArrow(tidied(_hashed), "h bigint, g int, doc_id bigint"), "spans")
     # counts and minima are formed before the shuffle, so a common passage costs one row a task
     shared = spans.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", "first")
     # a table of its own: a join of two plain exchanges is one whose hot keys can be split
@@ -203,7 +203,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 cols[chars] = pa.array([0 if t is None else len(t) for t in new], pa.int64()).cast(cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
-    return rows.mapInArrow(cut, plain.schema).toDF(*docs.columns)
+    return rows.mapInArrow(tidied(cut), plain.schema).toDF(*docs.columns)
 
 
 def op2_sentence_spans(spark, sf_dir: str) -> DataFrame:

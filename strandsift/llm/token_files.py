@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandsift.llm.common import forget, materialised, new_path, sliced, texts, tuned
+from strandsift.llm.common import forget, materialised, new_path, sliced, texts, tidied, tuned
 
 END_ID = 2
 FILE_TOKENS = 4 << 20
@@ -37,9 +37,9 @@ _MAGIC = b"SSVB0001"
 #: Tasks that read files back, at most; a task reads its files one by one.
 READERS = 10_000
 #: Bytes of text that are encoded at once, about.
-ENCODED_BYTES = 16 << 20
-#: Chunks of text whose ids a worker keeps.
-_HELD = 1_000_000
+ENCODED_BYTES = 4 << 20
+#: Chunks of text whose ids a worker keeps, about; beyond that it forgets those that came once.
+_HELD = 500_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -72,6 +72,7 @@ class Encoder:
         self.flat = np.zeros(1 << 20, np.uint32)
         self.used = 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.again = np.zeros(1 << 16, bool)  # chunks that have come again since they were learnt or kept
 
     def _learn(self, chunks: list[str]) -> None:
         words = [c for c in chunks if c.isalpha() and (c.isascii() or c.translate(_LATIN).isascii())]
@@ -90,40 +91,65 @@ class Encoder:
             pieces.update(zip(some, (x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
         ids = [pieces[c] for c in chunks]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, k = int(sizes.sum()), len(self.index)
+        self._add(chunks, sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())))
+
+    def _add(self, chunks: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n, k, m = len(ids), len(self.index), len(chunks)
         while self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while k + len(ids) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([v, np.zeros_like(v)]) for v in (self.starts, self.sizes))
-        self.flat[self.used : self.used + n] = np.fromiter(chain.from_iterable(ids), np.uint32, n)
-        self.starts[k : k + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[k : k + len(ids)] = sizes
+        while k + m > len(self.starts):
+            self.starts, self.sizes, self.again = (np.concatenate([v, np.zeros_like(v)]) for v in (self.starts, self.sizes, self.again))
+        self.flat[self.used : self.used + n] = ids
+        self.starts[k : k + m] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[k : k + m] = sizes
         self.used += n
-        self.index.update(zip(chunks, range(k, k + len(ids))))
+        self.index.update(zip(chunks, range(k, k + m)))
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+    def _forget(self) -> None:
+        """Keeps the chunks that came again in later texts; none, if those are many."""
+        kept = np.flatnonzero(self.again[: len(self.index)])
+        sizes = self.sizes[kept]
+        if len(kept) > _HELD // 2 or sizes.sum() > 8 * _HELD:
+            self.clear()
+            return
+        names = list(self.index)  # in the order of their places
+        ids = self._ids(kept)
+        self.clear()
+        self._add([names[i] for i in kept.tolist()], sizes, ids)
+
+    def _ids(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the chunks at these places, one after the other."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        n = int(ends[-1]) if len(at) else 0
+        return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(n)]
+
+    def _placed(self, texts: pa.Array) -> tuple[np.ndarray, list[int]]:
+        """(the place of each chunk of all texts in the index, where each text's chunks begin and the last one's end)."""
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # no special token, so case and cuts before marks change nothing
             texts = pc.replace_substring_regex(pc.ascii_lower(texts), _MARKS, r"\1 \2\3")
         lists = pc.ascii_split_whitespace(texts)
         chunks = lists.flatten().dictionary_encode()
         names = chunks.dictionary.to_pylist()
         if len(self.index) > _HELD or self.used > 16 * _HELD:
-            self.clear()
+            self._forget()
         known = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
+        self.again[known[known >= 0]] = True
         new = np.flatnonzero(known < 0)
         if len(new):
             k = len(self.index)
             self._learn([names[i] for i in new.tolist()])
             known[new] = np.arange(k, len(self.index))
-        at = known[chunks.indices.to_numpy()]
-        stops = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
-        out = []
-        for a, z in zip(stops, stops[1:]):  # text by text: the arrays stay in a core's cache
-            sizes = self.sizes[at[a:z]]
-            ends = np.cumsum(sizes)
-            n = int(ends[-1]) if z > a else 0
-            out.append(self.flat[np.repeat(self.starts[at[a:z]] - ends + sizes, sizes) + np.arange(n)])
-        return out
+        return known[chunks.indices.to_numpy()], (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        at, stops = self._placed(texts)
+        return [self._ids(at[a:z]) for a, z in zip(stops, stops[1:])]  # text by text: the arrays stay in a core's cache
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        at, stops = self._placed(texts)
+        return np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(self.sizes[at])])[stops])
 
 
 #: Letters of Western European languages: lower-casing and composing keep each a letter.
@@ -138,35 +164,47 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, about ENCODED_BYTES of text at once: the more, the fewer look-ups a distinct run costs."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in sliced(it):
+        held.append(b)
+        size += b.column(1).nbytes
+        if size >= ENCODED_BYTES:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+            held.clear()
+            yield from rows
+            size = 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def tokens(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids): the ids of each text and the end id, as little-endian u16 where all fit and u32 otherwise (wide)."""
 
     def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
-        held: list[pa.RecordBatch] = []
+        for b in _blocks(it):
+            wide, ids = [], []
+            for x in enc.encode(b.column(1)):
+                x = np.append(x, np.uint32(end_id))
+                wide.append(bool(x.max() > 0xFFFF))
+                ids.append(x.astype("<u4" if wide[-1] else "<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wide), pa.array(ids, pa.binary())], names=["doc_id", "wide", "ids"])
 
-        def out() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()
-            held.clear()
-            for b in rows:
-                wide, ids = [], []
-                for x in enc.encode(b.column(1)):
-                    x = np.append(x, np.uint32(end_id))
-                    wide.append(bool(x.max() > 0xFFFF))
-                    ids.append(x.astype("<u4" if wide[-1] else "<u2").tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wide), pa.array(ids, pa.binary())], names=["doc_id", "wide", "ids"])
-
-        size = 0
-        for b in sliced(it):  # the more texts at once, the fewer look-ups a distinct run costs
-            held.append(b)
-            size += b.column(1).nbytes
-            if size >= ENCODED_BYTES:
-                yield from out()
-                size = 0
-        if held:
-            yield from out()
-
-    return docs.mapInArrow(encoded, "doc_id bigint, wide boolean, ids binary")
+    return docs.mapInArrow(tidied(encoded), "doc_id bigint, wide boolean, ids binary")
+
+
+def lengths(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens): the number of ids that tokens() gives for each text, its end id included; no ids are formed."""
+
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _encoder(path)
+        for b in _blocks(it):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(enc.lengths(b.column(1)) + 1)], names=["doc_id", "n_tokens"])
+
+    return docs.mapInArrow(tidied(counted), "doc_id bigint, n_tokens bigint")
 
 
 def _ids(wide: bool, raw: bytes) -> np.ndarray:
@@ -260,7 +298,7 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
         if docs:
             yield flush()
 
-    return rows.mapInArrow(written, "part bigint, seq bigint, path string, docs bigint, tokens bigint")
+    return rows.mapInArrow(tidied(written), "part bigint, seq bigint, path string, docs bigint, tokens bigint")
 
 
 def read_file(fs: pafs.FileSystem, path: str, by_rank: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -298,7 +336,7 @@ def read_back(files: DataFrame, folder: str) -> DataFrame:
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     at = files.select("path", F.coalesce(F.sum("tokens").over(order), F.lit(0)).cast("long").alias("start"))
     at = at.repartition(max(1, min(files.count(), READERS)))
-    return at.mapInArrow(decoded, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return at.mapInArrow(tidied(decoded), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def export(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, str]:
@@ -311,7 +349,7 @@ def export(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", t
     spark = tuned(docs.sparkSession)
     folder = folder or new_path(spark, "tokens")
     rows = materialised(tokens(texts(docs, id_col, text_col), vocabulary or vocabulary_path(), end_id), "ids", "zstd")
-    counts = rows.mapInArrow(_counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidied(_counted), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     order = counts.orderBy(F.desc("n"), "id").select("id").toPandas()["id"].to_numpy(np.int64)  # a row an id of the vocabulary
     fs, top = _store(folder)
     fs.create_dir(top, recursive=True)

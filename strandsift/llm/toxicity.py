@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandsift.llm.common import forget, materialised, plain_names, sliced, texts, tuned
+from strandsift.llm.common import forget, materialised, plain_names, sliced, texts, tidied, tuned
 from strandsift.llm.quality import training_ids
 
 #: The labelled rows that a model is fitted on, at most: those whose md5(doc_id) comes first.
@@ -183,7 +183,7 @@ def train(
     sample = texts(docs, id_col, text_col).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     sample = materialised(sample, "labelled")
     ones, zeros = (sample.where(F.col("label") == k).count() for k in (1, 0))
-    counts = sample.mapInArrow(_counted, "feature string, ones bigint, zeros bigint").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    counts = sample.mapInArrow(tidied(_counted), "feature string, ones bigint, zeros bigint").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     p, q = F.col("ones") / F.lit(max(ones, 1)), F.col("zeros") / F.lit(max(zeros, 1))
     both = (F.col("ones") + F.col("zeros")) / F.lit(max(ones + zeros, 1))
     z = F.abs(p - q) / F.sqrt(both * (1 - both) * F.lit(1 / max(ones, 1) + 1 / max(zeros, 1)) + F.lit(1e-12))
@@ -203,7 +203,7 @@ def train(
                 [b.column(0), b.column(2), pa.array(map(on, ts), ints), pa.array(twins, pa.list_(pa.struct([("a", ints), ("b", ints)])))], names=["doc_id", "label", "on", "twins"]
             )
 
-    rows = materialised(sample.mapInArrow(encoded, "doc_id bigint, label int, on array<int>, twins array<struct<a:array<int>,b:array<int>>>"), "encoded")
+    rows = materialised(sample.mapInArrow(tidied(encoded), "doc_id bigint, label int, on array<int>, twins array<struct<a:array<int>,b:array<int>>>"), "encoded")
     got = rows.select("doc_id", "label", "on").toPandas().sort_values("doc_id", kind="stable")
     # twins of the same features count once, with their number
     pairs = rows.select(F.explode("twins").alias("t")).groupBy("t.a", "t.b").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -223,7 +223,7 @@ def score(docs: DataFrame, model: Linear, id_col: str = "doc_id", text_col: str
             s = np.array([model.score(t) for t in b.column(1).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return texts(docs, id_col, text_col).mapInArrow(scored, "doc_id bigint, score double, predicted int")
+    return texts(docs, id_col, text_col).mapInArrow(tidied(scored), "doc_id bigint, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Linear, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -236,7 +236,7 @@ def keep_clean(docs: DataFrame, model: Linear, threshold: float = 0.5, text_col:
             at = b.schema.get_field_index(text)
             yield b.filter(pa.array([model.score(t or "") < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return rows.mapInArrow(clean, rows.schema).toDF(*docs.columns)
+    return rows.mapInArrow(tidied(clean), rows.schema).toDF(*docs.columns)
 
 
 def op8_counterfactual_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -3,13 +3,18 @@
 import hashlib
 import itertools
 import math
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandsift.llm import html_blocks, impact_search, mixing, packing, token_files, weighted_minhash
+from strandsift.llm.common import texts
 from conftest_words import words
 
 
@@ -94,6 +99,54 @@ def test_token_files_of_odd_rows(spark, odd_docs, tmp_path):
     assert token_files.read_back(files, folder).count() == 0
 
 
+def test_lengths_and_forgotten_chunks(spark, make_docs, odd_docs, rng, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = token_files.vocabulary_path()
+    tok, docs = Tokenizer.from_file(path), [words(rng, rng.randint(0, 40)) + f" n{k}.x " for k in range(200)] + ["", " \n", "<|x|> 日本 isn't 😀"]
+    monkeypatch.setattr(token_files, "_HELD", 60)  # chunks are forgotten again and again
+    enc, largest = token_files.Encoder(path), 0
+    for e in range(0, len(docs), 5):
+        some = pa.array(docs[e : e + 5])
+        want = [tok.encode(t, add_special_tokens=False).ids for t in docs[e : e + 5]]
+        assert [x.tolist() for x in enc.encode(some)] == want
+        assert enc.lengths(some).tolist() == [len(x) for x in want]
+        largest = max(largest, len(enc.index))
+    assert largest < 60 + 5 * 50
+    for table in (make_docs(docs), odd_docs, odd_docs.limit(0)):
+        rows = texts(table).repartition(3)
+        ids = token_files.tokens(rows, path).collect()
+        assert sorted(map(tuple, token_files.lengths(rows, path).collect())) == sorted((r.doc_id, len(r.ids) // (4 if r.wide else 2)) for r in ids)
+
+
+def test_workers_give_memory_back():
+    """What a worker holds after some tasks stays small, though each brings 200,000 new words."""
+    code = """if True:
+        import re
+        from pathlib import Path
+        import pyarrow as pa
+        from strandsift.llm import token_files
+
+        class Frame:
+            def mapInArrow(self, run, schema):
+                self.run = run
+
+        def held():
+            return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+        docs, path = Frame(), token_files.vocabulary_path()
+        token_files.tokens(docs, path)
+        token_files._encoder(path)
+        start, n = held(), 0
+        for task in range(4):
+            text = pa.array([" ".join(f"w{n}" for n in range(k, k + 200)) for k in range(task * 200_000, (task + 1) * 200_000, 200)])
+            n += sum(b.num_rows for b in docs.run(iter([pa.RecordBatch.from_arrays([pa.array(range(1000)), text], names=["doc_id", "text"])])))
+        print(n, held() - start)
+    """
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split()
+    assert int(out[0]) == 4000 and float(out[1]) < 130
+
+
 @pytest.mark.parametrize("part,queries", [(1000, 1000), (37, 5)])
 def test_search_is_exact(spark, part, queries):
     r = np.random.default_rng(2)
