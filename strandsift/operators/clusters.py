@@ -11,13 +11,19 @@ def membership(annotated: DataFrame, mates: int) -> DataFrame:
     ids = [f"id{m}" for m in range(1, mates + 1)]
     heads = annotated.where(F.col("ord") == F.col("head_ord")).select(F.col("ord").alias("h"), *[F.col(i).alias("head_" + i) for i in ids])
     rows = annotated.join(heads, F.col("head_ord") == F.col("h"))
-    out = None
-    for m, i in enumerate(ids, 1):
-        part = rows.select(
-            F.lit(m).alias("mate"), F.col("head_ord").alias("cluster_ord"), F.col("head_" + i).alias("cluster_id"), F.col("ord").alias("member_ord"), F.col(i).alias("member_id"), (F.col("ord") == F.col("head_ord")).alias("is_head")
+    # both mates from one pass over the join
+    return rows.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(m).alias("mate"), F.col("head_ord").alias("cluster_ord"), F.col("head_" + i).alias("cluster_id"), F.col("ord").alias("member_ord"), F.col(i).alias("member_id"), (F.col("ord") == F.col("head_ord")).alias("is_head")
+                    )
+                    for m, i in enumerate(ids, 1)
+                ]
+            )
         )
-        out = part if out is None else out.union(part)
-    return out
+    )
 
 
 def cluster_line(member_id, is_head):

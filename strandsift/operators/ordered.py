@@ -43,23 +43,31 @@ def _gaps(seqs: pa.BinaryArray, prev: pa.BinaryArray) -> pa.Array:
     return pa.array(out, pa.int32(), mask=~alike)
 
 
+def gaps_in_batches(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array], list[pa.Array]]]:
+    """Each batch that has rows with, by key, the sequences before and the distances to them; null for the first row of all."""
+    last = [pa.nulls(1, pa.binary())] * len(keys)
+    for b in it:
+        n = b.num_rows
+        if not n:
+            continue
+        cols = [b.column(b.schema.get_field_index(k)).cast(pa.binary()) for k in keys]
+        prev = [pa.concat_arrays([end, col.slice(0, n - 1)]) for col, end in zip(cols, last)]
+        yield b, prev, [_gaps(col, p) for col, p in zip(cols, prev)]
+        last = [pa.array(c.slice(n - 1, 1).to_pylist(), pa.binary()) for c in cols]
+
+
 def _walk(keys: list[str]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, pos = TaskContext.get().partitionId(), 0
-        last = [pa.nulls(1, pa.binary())] * len(keys)
-        for b in it:
+        for b, prev, gaps in gaps_in_batches(it, keys):
             n = b.num_rows
-            if not n:
-                continue
-            cols = [b.column(b.schema.get_field_index(k)).cast(pa.binary()) for k in keys]
             out = list(b.columns)
             out += [pa.array(np.full(n, part, np.int64)), pa.array(np.arange(pos, pos + n, dtype=np.int64))]
-            for col, end in zip(cols, last):
-                prev = pa.concat_arrays([end, col.slice(0, n - 1)])
-                out += [prev.cast(pa.string()), _gaps(col, prev)]
+            for p, gap in zip(prev, gaps):
+                out += [p.cast(pa.string()), gap]
             names = b.schema.names + ["part", "pos"] + [f"{x}_{k}" for k in keys for x in ("prev", "gap")]
             yield pa.RecordBatch.from_arrays(out, names=names)
-            last, pos = [pa.array(c.slice(n - 1, 1).to_pylist(), pa.binary()) for c in cols], pos + n
+            pos += n
 
     return run
 

@@ -18,6 +18,7 @@ from strandsift.operators.exact import distinct_units, first_of_each, tight_head
 from strandsift.operators.neighbor import hamming_heads
 from strandsift.operators.pairing import matched, zipped
 from strandsift.operators.prefix import loose_heads
+from strandsift.operators.storage import forget, materialised
 
 COMPARE = ("tight", "loose", "tail-hamming")
 
@@ -45,11 +46,14 @@ class Options:
 def heads(rows: DataFrame, options: Options) -> DataFrame:
     """The distinct sequences (pairs) of rows (ord, s1[, s2], ...) with their first ord and head_ord, the ord of their cluster's head."""
     units = distinct_units(rows)
+    if options.compare == "tight":
+        return tight_heads(units)
+    units = materialised(units, "units")  # the plans below read them more than once
     if options.compare == "loose":
         return loose_heads(units)
-    if options.compare == "tail-hamming":
-        return hamming_heads(units, options.distance)
-    return tight_heads(units)
+    out = hamming_heads(units, options.distance)
+    forget(units)
+    return out
 
 
 def annotated(rows: DataFrame, options: Options) -> DataFrame:
@@ -99,8 +103,13 @@ class Result:
     def clusters(self) -> DataFrame:
         if self.options.fast:
             raise ValueError("clusters are not available in fast mode")
-        ids = [F.col(f"r{m}.id").alias(f"id{m}") for m in range(1, self.mates + 1)]
-        return _clusters.membership(self.annotated.select("ord", "head_ord", *ids), self.mates)
+        ids = [f"id{m}" for m in range(1, self.mates + 1)]
+        rows = self.rows.select("ord", *[F.col(f"r{m}.id").alias(i) for m, i in enumerate(ids, 1)], *("s1", "s2")[: self.mates])
+        if self.mates == 2:  # the mates meet once: units and annotation read the pairs
+            rows = materialised(rows, "pairs")
+        table = materialised(annotated(rows, self.options).select("ord", "head_ord", *ids), "annotated")  # heads and members
+        forget(rows)
+        return _clusters.membership(table, self.mates)
 
     @cached_property
     def summary(self) -> DataFrame:

@@ -126,3 +126,49 @@ def test_tags(spark, header, tag):
     from strandsift.functions.tags import read_tag
 
     assert spark.range(1).select(read_tag(F.lit(header))).first()[0] == tag
+
+
+@pytest.mark.parametrize("mates", [1, 2])
+@pytest.mark.parametrize("d", [1, 2])
+def test_hamming_over_many_ranges(spark, d, mates):
+    """Clusters that begin in one range of the order and end in another, also past ranges without a sure break."""
+    rng = random.Random(f"{d}{mates}")
+    part = lambda n: "".join(rng.choice("AC") for _ in range(n))
+    rows = [(k, *(rng.choice(["GGGGTTTT", "TGTGTTTT"]) + part(6) for _ in range(mates))) for k in range(150)]
+    rows += [(k, *(part(rng.randint(1, 8)) for _ in range(mates))) for k in range(150, 200)]
+    df = spark.createDataFrame(rows, "ord long, s1 string" + (", s2 string" if mates == 2 else ""))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        for parts in (2, 12):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = annotated(df, Options(compare="tail-hamming", distance=d))
+            assert {r.ord: r.head_ord for r in got.collect()} == loop(rows, "tail-hamming", d)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("compare", ["tight", "loose", "tail-hamming"])
+def test_clusters_of_pairs_read_each_side_once(spark, compare):
+    from strandsift.plans.dedup import dedup
+
+    rng = random.Random(compare)
+    rows = [(k, "".join(rng.choice("ACG") for _ in range(rng.randint(8, 11))), "".join(rng.choice("AC") for _ in range(rng.randint(2, 3)))) for k in range(300)]
+    rows += [(k + 300, *r[1:]) for k, r in enumerate(rows[:100])]
+    seen = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def side(m):
+        def count(it):
+            for b in it:
+                seen[m - 1].add(b.num_rows)
+                yield b
+
+        df = spark.createDataFrame([(r[0], f"@{m}.{r[0]}", r[m]) for r in rows], "ord long, id string, seq string")
+        return df.mapInArrow(count, df.schema)
+
+    got = dedup(side(1), side(2), Options(compare=compare, distance=1)).clusters.collect()
+    want = loop(rows, compare, 1)
+    assert sorted(map(tuple, got)) == sorted((m, h, f"@{m}.{h}", o, f"@{m}.{o}", o == h) for o, h in want.items() for m in (1, 2))
+    assert [s.value for s in seen] == [len(rows)] * 2
