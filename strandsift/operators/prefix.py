@@ -26,7 +26,8 @@ def loose_heads(units: DataFrame, strategy: str | None = None) -> DataFrame:
     if strategy is None:
         strategy = "range"
         if least >= LEAST_PREFIX:
-            hot = units.groupBy(F.substring("s1", 1, least)).count().agg(F.max("count").alias("n")).first()["n"]
+            # by hash: prefixes that collide count together, which can only choose ranges sooner
+            hot = units.groupBy(F.xxhash64(F.substring("s1", 1, least))).count().agg(F.max("count").alias("n")).first()["n"]
             strategy = "prefix" if hot <= MOST_ROWS else "range"
     if strategy == "range":
         rows = with_previous(units, keys)

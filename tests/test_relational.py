@@ -172,3 +172,24 @@ def test_clusters_of_pairs_read_each_side_once(spark, compare):
     want = loop(rows, compare, 1)
     assert sorted(map(tuple, got)) == sorted((m, h, f"@{m}.{h}", o, f"@{m}.{o}", o == h) for o, h in want.items() for m in (1, 2))
     assert [s.value for s in seen] == [len(rows)] * 2
+
+
+@pytest.mark.parametrize("least", [3, 9])
+def test_loose_heads_read_the_rows_once(spark, least):
+    """Choice of strategy included: least length, largest prefix, windows or ranges."""
+    from strandsift.plans.dedup import heads
+
+    rng = random.Random(least)
+    rows = [(k, "".join(rng.choice("AC") for _ in range(rng.randint(least, least + 2)))) for k in range(200)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for b in it:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "ord long, s1 string")
+    got = heads(df.mapInArrow(count, df.schema), Options(compare="loose")).collect()
+    want = loop(rows, "loose", 0)
+    assert {r.ord: r.head_ord for r in got} == {r.ord: want[r.ord] for r in got}
+    assert len(got) == len({s for _, s in rows}) and seen.value == len(rows)
